@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, sentences, splitting, tokenization
+from . import leakage, near_duplicates, sentences, splitting, tokenization
 from .common import corpus_items, table
 
 
@@ -28,6 +28,10 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_items_with_headings(spark, d)).dropDuplicates(["item_type", "item_id", "piece"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.similar_chunks(table(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenization.encode(table(spark, d, "documents"))
 
