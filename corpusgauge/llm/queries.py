@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, near_duplicates, sentences, splitting, tokenization
+from . import leakage, lookalikes, near_duplicates, sentences, splitting, tokenization
 from .common import corpus_items, table
 
 
@@ -28,6 +28,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_items_with_headings(spark, d)).dropDuplicates(["item_type", "item_id", "piece"])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_visible_text(table(spark, d, "scan_documents"))
+
+
+def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.normalize(table(spark, d, "scan_documents")).select("document_id", "normalized_content").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_chunks(table(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 # Abbreviations assumed before anything is counted.
-TITLES = frozenset("mr mrs ms dr prof st sr sra srta dott sig hr fr mme mlle m d ing av sayın lic د डॉ श्री".split())
+TITLES = frozenset("mr mrs ms dr prof st sr sra srta dott sig hr fr mme mlle m d ing av sayın lic د डॉ श\u094dरी".split())
 BEFORE_NUMBER = frozenset("no nr fig figs sec sect p pp pag pág abs art vol ch kap s bd zif ziff núm num n cap ex eq tab".split())
 COMMON = frozenset(
     "i.e e.g cf vs approx ca gem lt bzw bkz örn cfr v resp evtl ggf inkl vgl z.b d.h u.a ad es p.ex ej bsp dept est al max min".split()
@@ -36,25 +36,25 @@ COMMON = frozenset(
 CAN_END = frozenset("etc usw ecc vb vs inc ltd co corp u.s u.k e.u a.m p.m ff jr dgl vd plc gmbh bros".split())
 GERMAN_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 
-PARAGRAPH = re.compile(r"(?:\r\n|[\n\r\x85 ])[ \t 　]*(?:(?:\r\n|[\n\r\x85 ])[ \t 　]*)+| ")
-LINE = re.compile(r"\r\n|[\n\r\x85 ]")
-BULLET = re.compile(r"[ \t]*(?:[-*+•◦▪‣·–—][ \t　]+(?=\S)|(\d{1,3}[.)]|[(]\d{1,3}[)]|[a-zA-Z][)])[ \t　]+(?=\S)|\d{1,3}、)")
+PARAGRAPH = re.compile(r"(?:\r\n|[\n\r\x85\u2028])[ \t\u00a0\u3000]*(?:(?:\r\n|[\n\r\x85\u2028])[ \t\u00a0\u3000]*)+|\u2029")
+LINE = re.compile(r"\r\n|[\n\r\x85\u2028]")
+BULLET = re.compile(r"[ \t]*(?:[-*+•◦▪‣·–—][ \t\u3000]+(?=\S)|(\d{1,3}[.)]|[(]\d{1,3}[)]|[a-zA-Z][)])[ \t\u3000]+(?=\S)|\d{1,3}、)")
 STOP = re.compile(r"[.!?…。！？｡．؟।॥]+")
 PAIRED = re.compile(r"[\"“”„«»‹›「」『』()（）\[\]【】〈〉《》]")
 OPEN = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "〈": "〉", "《": "》"}
 BRACKETS = "(（[【"
 CLOSERS = "\"'”’“»›」』)）]】〉》*_"
-SKIP = " \t\r\n  　\"'“„«‹「『(（[【〈《¿¡*_"
+SKIP = " \t\r\n\u00a0\u202f\u3000\"'“„«‹「『(（[【〈《¿¡*_"
 IDEOGRAPHIC = "。！？｡．"
-WORD_BEFORE = re.compile(r"(?:[^\W\d_](?:\.[^\W\d_])+|[^\W\d_][̀-ͯऀ-ःऺ-ॏـ\w'’]*)$")
+WORD_BEFORE = re.compile(r"(?:[^\W\d_](?:\.[^\W\d_])+|[^\W\d_][\u0300-\u036f\u0900-ः\u093a-ॏـ\w'’]*)$")
 NUMBER_BEFORE = re.compile(r"\d$")
-UNIT_BEFORE = re.compile(r"\d[   ]?[^\W\d_]{1,3}$")
+UNIT_BEFORE = re.compile(r"\d[ \u00a0\u202f]?[^\W\d_]{1,3}$")
 WORD_AT = re.compile(r"[^\W\d_][\w'’]*")
-TOKENS = re.compile(r"(?<![\w.])[^\W\d_](?:[^\W\d_]|[ऀ-ःऺ-ॏ]){0,5}(?:\.[^\W\d_]\b)*(?![\w'’])\.?")
-FOLLOWED = re.compile(r"(?<![\w.])((?:[^\W\d_]\.)*[^\W\d_](?:[^\W\d_]|[ऀ-ःऺ-ॏ]){0,5})\.(?=[,;:]|[  ](?:[a-zà-öø-ÿğışçöü]|\d))")
+TOKENS = re.compile(r"(?<![\w.])[^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5}(?:\.[^\W\d_]\b)*(?![\w'’])\.?")
+FOLLOWED = re.compile(r"(?<![\w.])((?:[^\W\d_]\.)*[^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5})\.(?=[,;:]|[ \u00a0](?:[a-zà-öø-ÿğışçöü]|\d))")
 SMALL = re.compile(r"(?<![\w'’.])[a-zà-öø-ÿğışçöü][\w]*")
 SAID = re.compile(r"^[^。！？\n]{0,24}?(?:说|說|道|问|問|喊|答|表示|写道)[^。！？]{0,3}[。！？]")
-THAI = "ก-ฺเ-๎"
+THAI = "ก-\u0e3aเ-\u0e4e"
 THAI_GAP = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
 MAX_PAIR = 600
 
@@ -98,7 +98,7 @@ class Splitter:
         if b <= a:
             return
         para = text[a:b]
-        if not para.strip("﻿ \t\r\n​ 　") or para.isspace():
+        if not para.strip("\ufeff \t\r\n\u200b\u00a0\u3000") or para.isspace():
             return
         if not LINE.search(para):
             if BULLET.match(para):
@@ -142,7 +142,7 @@ class Splitter:
                 ends.append(cut)
                 begin = cut
         ends.append(body)
-        if "฀" <= max(para) and re.search(f"[{THAI}]", para):
+        if "\u0e00" <= max(para) and re.search(f"[{THAI}]", para):
             inside = lambda k: any(o < k < c for o, c, _ in pairs)
             ends = sorted({*ends, *(m.start() for m in THAI_GAP.finditer(para) if not inside(m.start()))})
         out.extend(a + e for e in ends)
@@ -228,7 +228,7 @@ class Splitter:
         single = len(word) == 1
         known = (
             low in TITLES or low in BEFORE_NUMBER and after.isdigit() or low in COMMON or low in CAN_END
-            or "." in low or single and not "฀" <= word <= "๿"
+            or "." in low or single and not "\u0e00" <= word <= "\u0e7f"
         )
         if not known and len(low) <= 7:
             known = low in self._facts(text, facts)[0] or low in self.abbreviations
