@@ -1,8 +1,8 @@
 """Problem 3: one consistent form for visually identical text.
 
 1. Characters that show nothing are deleted (zero-width and word-joining marks, soft
-   hyphens, byte order marks, direction marks); a joiner stays where it shapes what is
-   seen: inside emoji sequences, after an Indic virama, between joining Arabic letters.
+   hyphens, byte order marks, direction marks); a joiner stays inside emoji sequences,
+   where it decides what is seen. Elsewhere joiners count as invisible in every script.
 2. Compatibility normalization of letters, digits and ligatures (full and half width,
    presentation forms, radicals), one kind of single space, one plain hyphen, LF line
    ends, then canonical composition. Raised and circled characters, ellipses, quotation
@@ -57,10 +57,6 @@ def _joiner(m: re.Match) -> str:
     kinds = unicodedata.category(before), unicodedata.category(after)
     if kinds[1] == "So" and kinds[0] in ("So", "Sk"):
         return m.group()
-    if unicodedata.combining(before) == 9:  # a virama
-        return m.group()
-    if "\u0600" <= before <= "\u06ff" and "\u0600" <= after <= "\u06ff" and m.group() == "\u200c" and kinds == ("Lo", "Lo"):
-        return m.group()
     return ""
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, near_duplicates, sentences, splitting, tokenization
+from . import languages, leakage, lookalikes, near_duplicates, sentences, splitting, tokenization
 from .common import corpus_items, table
 
 
@@ -36,6 +36,22 @@ def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalize(table(spark, d, "scan_documents")).select("document_id", "normalized_content").distinct()
 
 
+def _language_model(spark: SparkSession, d: str) -> languages.Model:
+    return languages.fit(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "scan_documents"), _language_model(spark, d))
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(table(spark, d, "scan_documents"), _language_model(spark, d)).drop("label_code").distinct()
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_segments(table(spark, d, "scan_documents"), _language_model(spark, d)).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_chunks(table(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
 
