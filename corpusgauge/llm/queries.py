@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, near_duplicates, sentences, splitting, tokenization
+from . import languages, leakage, lookalikes, markup, near_duplicates, sentences, splitting, tokenization
 from .common import corpus_items, table
 
 
@@ -56,6 +56,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_chunks(table(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found_markup(table(spark, d, "scan_documents"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(table(spark, d, "scan_documents")).distinct()
+
+
+def p6_templates(spark: SparkSession, d: str) -> DataFrame:
+    return markup.page_templates(table(spark, d, "scan_documents"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenization.encode(table(spark, d, "documents"))
 
