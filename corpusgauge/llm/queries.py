@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, markup, near_duplicates, sentences, splitting, tokenization
+from . import languages, leakage, lookalikes, markup, near_duplicates, personal, sentences, splitting, tokenization
 from .common import corpus_items, table
 
 
@@ -28,6 +28,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_items_with_headings(spark, d)).dropDuplicates(["item_type", "item_id", "piece"])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_personal(corpus_items(spark, d))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(corpus_items(spark, d)).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_visible_text(table(spark, d, "scan_documents"))
 
