@@ -36,9 +36,12 @@ def words(c: ColumnOrName) -> Column:
     return F.regexp_extract_all(fold(c), java(P.WORD), F.lit(0))
 
 
-def shingles(c: ColumnOrName, k: int = 5) -> Column:
-    """Distinct runs of k words; a shorter text is one run of all its words."""
-    w = words(c)
+def shingles(w: ColumnOrName, k: int = 5) -> Column:
+    """Distinct runs of k words of a word array; a shorter one is one run of all its words.
+
+    Takes a computed column: an expression would be evaluated again for every run.
+    """
+    w = col(w)
     runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
     whole = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.when(F.size(w) >= k, runs).otherwise(whole))

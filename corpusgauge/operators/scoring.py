@@ -120,7 +120,11 @@ def language_vote(documents: DataFrame) -> DataFrame:
     """(id, vote): stop words of five languages, Chinese by its characters, en as the fallback."""
     w = T.words("content")
     han = F.length("content") - F.length(F.regexp_replace("content", "[一-鿿]", ""))
-    counts = [F.struct(F.size(F.filter(w, lambda x, s=s: x.isin(*s))).alias("n"), F.lit(code).alias("language")) for code, s in sorted(P.STOP_WORDS.items())]
+
+    def hits(stop: tuple[str, ...]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*stop)))
+
+    counts = [F.struct(hits(stop).alias("n"), F.lit(code).alias("language")) for code, stop in sorted(P.STOP_WORDS.items())]
     ordered = F.array_sort(F.array(*counts), lambda a, b: F.when(a.n > b.n, -1).when(a.n < b.n, 1).when(a.language < b.language, -1).otherwise(1))
     best, second = F.element_at(ordered, 1), F.element_at(ordered, 2)
     vote = F.when(han >= 20, "zh-CN").when((best.n >= 6) & (best.n >= second.n + 2), best.language).otherwise("en")
