@@ -122,7 +122,7 @@ def score_band(c: ColumnOrName) -> Column:
 
 def luhn(c: ColumnOrName) -> Column:
     digits = F.regexp_replace(col(c), "[^0-9]", "")
-    return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
 def national_id(c: ColumnOrName) -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
+def micros(t: Column | str) -> Column:
+    """Microseconds since the epoch, of a timestamp with or without zone (UTC)."""
+    return F.unix_micros((F.col(t) if isinstance(t, str) else t).cast("timestamp"))
+
+
 def states(jobs: DataFrame, now: Column) -> DataFrame:
     """(id, status, next_state): what a worker's pass at ``now`` makes of each job.
 
@@ -45,7 +50,7 @@ def enqueue(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def next_run(last: Column, minutes: Column, now: Column) -> Column:
     """The first time after ``now`` on the grid of ``minutes`` from ``last``."""
-    gap = F.floor((F.unix_micros(now) - F.unix_micros(last)) / (minutes * 60_000_000)) + 1
+    gap = F.floor((micros(now) - micros(last)) / (minutes * 60_000_000)) + 1
     step = F.make_dt_interval(mins=(gap * minutes).cast("int"))
     return F.when(last > now, last).otherwise(last + step)
 
@@ -65,6 +70,6 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int = 60, seconds: i
     Counts every request, accepted or not: an upper bound of the stateful limiter, which is
     ``streaming.limits``.
     """
-    w = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000 + 1, 0)
     n = F.count("*").over(w)
     return events.select("*", n.alias("in_window"), (n > limit).alias("over_limit"))
