@@ -50,7 +50,7 @@ def enqueue(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def next_run(last: Column, minutes: Column, now: Column) -> Column:
     """The first time after ``now`` on the grid of ``minutes`` from ``last``."""
-    gap = F.floor((micros(now) - micros(last)) / (minutes * 60_000_000)) + 1
+    gap = F.floor((micros(now) - micros(last)) / (minutes.cast("bigint") * 60_000_000)) + 1
     step = F.make_dt_interval(mins=(gap * minutes).cast("int"))
     return F.when(last > now, last).otherwise(last + step)
 
