@@ -133,6 +133,9 @@ def count_ngrams(texts: list[str]) -> np.ndarray:
 class Model:
     def __init__(self, counts: dict[str, np.ndarray], smoothing: float = SMOOTHING):
         self.languages = sorted(counts)
+        if not counts:  # nothing to learn from: no text gets a language
+            self.log = np.zeros((BUCKETS, 0), dtype=np.float32)
+            return
         table = np.stack([counts[x] for x in self.languages], axis=1).astype(np.float64)
         table *= table.sum(axis=0).max() / np.maximum(table.sum(axis=0), 1)  # unseen n-grams cost the same everywhere
         table += smoothing
@@ -186,7 +189,7 @@ class Judge:
     def batch(self, contents: list[str | None]) -> list[list[tuple[int, str, float]]]:
         """Of each content its prose segments as (letters, language, confidence), in order."""
         texts, owner, letters = [], [], []
-        for i, content in enumerate(contents):
+        for i, content in enumerate(contents if self.model.languages else []):
             if content:
                 text = QUOTES.sub(" ", prose(plain_form(content)))
                 for a, b, n in segments(text):

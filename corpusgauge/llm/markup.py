@@ -73,7 +73,8 @@ WIKI_EMPHASIS = re.compile(r"'''(?=[^\s'])(.+?)'''|(?<!')''(?=[^\s'])([^'\n]+?)'
 WIKI_EXTERNAL = re.compile(r"(?<!\])\[(?:https?|ftp)://[^\s\]]+ [^\]\n]+\](?!\()")
 HASH_LINE = re.compile(r"^(#{1,6})[ \t]+(\S[^\n]*)$", re.M)
 STAR_LINE = re.compile(r"^([*#:;]+)[ \t]*(\S[^\n]*)$", re.M)
-SETEXT = re.compile(r"^(?![ \t]*(?:[-*+>|#]|\d+[.)])[ \t])([^\n]*[^\s\n=-][^\n]*)\n(=+|-{2,})[ \t\r]*$", re.M)
+UNDERLINE = re.compile(r"^(=+|-{2,})[ \t\r]*$", re.M)  # looked at backwards: a pattern over both lines backtracks on long ones
+NO_TITLE = re.compile(r"[ \t]*(?:[-*+>|#]|\d+[.)])[ \t]|[\s=-]*$")
 MD_LIST = re.compile(r"^[ \t]*([-+*]|\d{1,4}[.)])[ \t]+(\[[ xX]\][ \t]+)?(\S[^\n]*)$", re.M)
 MD_TABLE = re.compile(r"^[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t\r]*$(?:\n[^\n]*\|[^\n]*)*", re.M)
 MD_CODE = re.compile(r"(?<![A-Za-z`])(`+)(?!`)([^\n]+?)(?<!`)\1(?![A-Za-z`])")
@@ -93,6 +94,18 @@ TEX_TABLE = re.compile(rf"\\begin\{{({_alt(LATEX_TABLES.split())})\}}(.*?)\\end\
 TEX_INLINE = re.compile(rf"\\(?:{_alt(LATEX_INLINE)})\*?(?:\[[^\]\n]*\])?\{{|\\(?:maketitle|noindent|centering|newline|newpage|tableofcontents|item|LaTeX|TeX|ldots|dots)\b|~\\[a-z]+\{{|\\[,;%&#_]|\\begin\{{(?:document|center|quote|figure|abstract)\}}")
 
 
+def underlined(text: str) -> list[tuple[int, int, str, str]]:
+    """Lines underlined by = or -, alone in their paragraph: (start, end, title, underline)."""
+    out = []
+    for m in UNDERLINE.finditer(text):
+        start = text.rfind("\n", 0, max(0, m.start() - 1)) + 1
+        title = text[start : max(start, m.start() - 1)]
+        first = start == 0 or text[max(0, text.rfind("\n", 0, start - 1)) : start].strip() == ""
+        if m.start() and first and len(m.group(1)) >= 2 and "|" not in title and not NO_TITLE.match(title):
+            out.append((start, m.end(), title.rstrip("\r"), m.group(1)))
+    return out
+
+
 class Reading:
     """Marks of one text: {(kind, element): [(start, end)]}."""
 
@@ -164,9 +177,8 @@ class Reading:
         if "|" in rest and "-" in rest:
             self._each(MD_TABLE, "markdown", "table")
         if "\n=" in rest or "\n-" in rest:
-            for m in SETEXT.finditer(rest):
-                if (m.start() == 0 or rest[: m.start()].rstrip(" \t\r").endswith("\n")) and len(m.group(2)) >= 2 and "|" not in m.group(1):
-                    self._add("markdown", "heading", m.start(), m.end())
+            for start, end, _, _ in underlined(rest):
+                self._add("markdown", "heading", start, end)
         if "`" in rest:
             self._each(MD_CODE, "markdown", "inline")
         if "*" in rest:
@@ -302,7 +314,8 @@ def _from_latex(t: str) -> str:
 
 
 def _from_markdown(t: str) -> str:
-    t = SETEXT.sub(lambda m: ("# " if m.group(2)[0] == "=" else "## ") + m.group(1), t)
+    for start, end, title, mark in reversed(underlined(t)):
+        t = t[:start] + ("# " if mark[0] == "=" else "## ") + title + t[end:]
     t = HASH_LINE.sub(lambda m: m.group(1) + " " + m.group(2).rstrip("# \r"), t)
     t = DISPLAY.sub(lambda m: "$" + m.group(1).strip() + "$", t)
     t = MD_CODE.sub(lambda m: m.group(2).strip(), t)

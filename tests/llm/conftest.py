@@ -1,0 +1,12 @@
+import pytest
+from corpusgauge.session import session
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    s = session(
+        "local[4]",
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))},
+    )
+    s.sparkContext.setLogLevel("ERROR")
+    yield s
