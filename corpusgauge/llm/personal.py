@@ -61,7 +61,7 @@ EMAIL = re.compile(
     r"[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|punkt|punto|point|nokta)[\])}] ?| dot )[A-Za-z0-9-]+)*",
     re.I,
 )
-NUMBER = re.compile(r"(?<![\w.+/$€£#-])(?:\+ ?|\(\+?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\w@]|[-./]\d)|(?<=[一-鿿])(?:\+ ?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\w]|[-./]\d)")
+NUMBER = re.compile(r"(?<![\w.+/$€£#-])(?:\+ ?|\(\+?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\d_a-zà-ÿ@]|[-./]\d)|(?<=[一-鿿])(?:\+ ?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\w]|[-./]\d)")
 MIXED = re.compile(r"(?<![\w.+/-])(?:[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{1,2}\d{6,9}|\d{8}-? ?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{2}[A-Z0-9]{6,8}|\d{17}[Xx])(?![\w-])|(?<=[一-鿿])\d{17}[\dXx](?!\w)")
 
 _TOWN = rf"(?:(?:Bad|San|Saint|Sankt|Santa|New|Los|Las|La|Le|Les|Den|St\.) )?{WORD}(?:-{WORD})*"
