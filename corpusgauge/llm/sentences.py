@@ -50,9 +50,9 @@ WORD_BEFORE = re.compile(r"(?:[^\W\d_](?:\.[^\W\d_])+|[^\W\d_][\u0300-\u036f\u09
 NUMBER_BEFORE = re.compile(r"\d$")
 UNIT_BEFORE = re.compile(r"\d[ \u00a0\u202f]?[^\W\d_]{1,3}$")
 WORD_AT = re.compile(r"[^\W\d_][\w'’]*")
-TOKENS = re.compile(r"(?<![\w.])[^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5}(?:\.[^\W\d_]\b)*(?![\w'’])\.?")
-FOLLOWED = re.compile(r"(?<![\w.])((?:[^\W\d_]\.)*[^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5})\.(?=[,;:]|[ \u00a0](?:[a-zà-öø-ÿğışçöü]|\d))")
-SMALL = re.compile(r"(?<![\w'’.])[a-zà-öø-ÿğışçöü][\w]*")
+BARE = re.compile(r"[\W_]*([^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5}(?:\.[^\W\d_])*)(\.?)[\W_]*")
+ENDS_NOTHING = re.compile(r"\.(?=[,;:]|[ \u00a0](?:[a-zà-öø-ÿğışçöü]|\d))")
+BEFORE_STOP = re.compile(r"(?<![\w.])(?:[^\W\d_]\.)*[^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5}$")
 SAID = re.compile(r"^[^。！？\n]{0,24}?(?:说|說|道|问|問|喊|答|表示|写道)[^。！？]{0,3}[。！？]")
 THAI = "ก-\u0e3aเ-\u0e4e"
 THAI_GAP = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
@@ -151,16 +151,16 @@ class Splitter:
         """Where the unit ends if the stop at para[i:j] ends one."""
         stop = para[i:j]
         opened = None
-        around = [p for p in pairs if p[0] < i and j <= p[1]]
-        while around:
-            inner = max(around)
-            if para[j : inner[1]].strip():
-                return None
-            j = inner[1] + 1
-            opened = inner
-            around = [p for p in pairs if p[0] < inner[0] and j <= p[1]]
-        pair_opens = {p[0] for p in pairs}
-        while j < len(para) and para[j] in CLOSERS and j not in pair_opens:
+        if pairs:
+            around = [p for p in pairs if p[0] < i and j <= p[1]]
+            while around:
+                inner = max(around)
+                if para[j : inner[1]].strip():
+                    return None
+                j = inner[1] + 1
+                opened = inner
+                around = [p for p in pairs if p[0] < inner[0] and j <= p[1]]
+        while j < len(para) and para[j] in CLOSERS and not any(p[0] == j for p in pairs):
             j += 1
         ideographic = stop[-1] in IDEOGRAPHIC
         spaced = para[j].isspace() if j < len(para) else True
@@ -202,15 +202,29 @@ class Splitter:
             j += 1
         return j
 
-    def _facts(self, text: str, facts: list) -> tuple[set[str], set[str]]:
-        """Of this document: words with a stop that ends nothing; words written small."""
-        if not facts:
-            facts.append({w.lower() for w in FOLLOWED.findall(text)})
-            facts.append(set(SMALL.findall(text)))
-        return facts[0], facts[1]
+    @staticmethod
+    def _ends_nothing(text: str, word: str, facts: list) -> bool:
+        """Whether the word stands elsewhere in this document with a stop and a small letter, digit or comma after it."""
+        known = facts[0].get(word) if facts else None
+        if known is None:
+            if not facts:
+                facts.extend(({}, {}))
+            known, at = False, text.find(word + ".")
+            while at >= 0 and not known:
+                end = at + len(word) + 1
+                known = not (at and (text[at - 1].isalnum() or text[at - 1] in "._")) and bool(ENDS_NOTHING.match(text, end - 1))
+                at = text.find(word + ".", end)
+            facts[0][word] = known
+        return known
 
     def _written_small(self, text: str, facts: list, word: str) -> bool:
-        return word in self._facts(text, facts)[1] or word in self.small_words
+        """Whether a word that stands capitalised here is written small in this document, else in the corpus."""
+        if not facts:
+            facts.extend(({}, {}))
+        known = facts[1].get(word)
+        if known is None:
+            known = facts[1][word] = bool(re.search(rf"(?<![\w'’.]){re.escape(word)}(?!\w)", text)) or word in self.small_words
+        return known
 
     def _full_stop(self, text: str, para: str, i: int, k: int, facts: list) -> bool:
         before = para[max(0, i - 40) : i]
@@ -231,7 +245,7 @@ class Splitter:
             or "." in low or single and not "\u0e00" <= word <= "\u0e7f"
         )
         if not known and len(low) <= 7:
-            known = low in self._facts(text, facts)[0] or low in self.abbreviations
+            known = low in self.abbreviations or self._ends_nothing(text, word, facts)
         if not known:
             return True
         if after.isdigit():
@@ -258,16 +272,19 @@ def corpus_words(texts: DataFrame, min_count: int = 5, share: float = 0.95) -> t
             inside: Counter = Counter()
             for text in cols["text"]:
                 if text:
-                    counts.update(TOKENS.findall(text))
-                    inside.update(FOLLOWED.findall(text))
+                    counts.update(text.split())
+                    for m in ENDS_NOTHING.finditer(text):
+                        if w := BEFORE_STOP.search(text, max(0, m.start() - 12), m.start()):
+                            inside[w.group().lower()] += 1
             rows: dict[str, list[int]] = {}
             for token, n in counts.items():
-                bare = token[:-1] if token.endswith(".") else token
-                row = rows.setdefault(bare.lower(), [0, 0, 0, 0])
-                row[0 if token.endswith(".") else 1] += n
-                row[3] += n if bare.islower() else 0
+                if len(token) <= 24 and (m := BARE.fullmatch(token)):
+                    bare = m.group(1)
+                    row = rows.setdefault(bare.lower(), [0, 0, 0, 0])
+                    row[0 if m.group(2) else 1] += n
+                    row[3] += n if bare.islower() else 0
             for token, n in inside.items():
-                rows.setdefault(token.lower(), [0, 0, 0, 0])[2] += n
+                rows.setdefault(token, [0, 0, 0, 0])[2] += n
             return dict(zip(names, (list(rows), *map(list, zip(*rows.values()))))) if rows else {n: [] for n in names}
 
         return step
