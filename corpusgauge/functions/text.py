@@ -176,3 +176,73 @@ def contains_regex(c: ColumnOrName, *patterns: str) -> Column:
     for p in patterns:
         out = out | col(c).rlike("(?Uim)" + p)
     return out
+
+
+def pdf_date(c: ColumnOrName) -> Column:
+    """Timestamp of a PDF date such as D:20240131120000Z; null where it is none."""
+    digits = F.rpad(F.regexp_extract(col(c), r"^(?:D:)?([0-9]{4,14})", 1), 14, "0")
+    full = F.regexp_replace(F.regexp_replace(digits, "^([0-9]{4})00", "$101"), "^([0-9]{6})00", "$101")
+    return F.try_to_timestamp(F.when(full.rlike("^[0-9]{14}$") & ~full.rlike("^0000"), full), F.lit("yyyyMMddHHmmss"))
+
+
+CONTROL_CLASS = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]"
+
+
+def extraction_flags(c: ColumnOrName) -> Column:
+    """What looks wrong with extracted text: control characters, blanks, broken lines, repeated sequences."""
+    text = col(c)
+    n = F.greatest(F.length(text), F.lit(1))
+    controls = F.length(text) - F.length(F.regexp_replace(text, CONTROL_CLASS, ""))
+    blanks = F.length(text) - F.length(F.regexp_replace(text, "[ \t\r\n]", ""))
+    rows = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    short = F.size(F.filter(rows, lambda x: F.length(x) <= 3))
+    return F.array_compact(F.array(
+        F.when(controls > 0.02 * n, F.lit("control_characters")),
+        F.when(blanks > 0.65 * n, F.lit("mostly_blank")),
+        F.when((F.size(rows) >= 5) & (short > 0.5 * F.size(rows)), F.lit("fragmented_lines")),
+        F.when(text.rlike(r"(.{1,4})\1{5,}"), F.lit("repeated_sequence")),
+    ))
+
+
+SENSITIVE_HEADERS = ("authorization", "proxy-authorization", "x-api-key", "api-key", "cookie", "set-cookie")
+
+
+def redact_headers(c: ColumnOrName) -> Column:
+    """A map with the values of sensitive keys replaced."""
+    return F.transform_values(col(c), lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_HEADERS), F.lit("[REDACTED]")).otherwise(v))
+
+
+REFERENCE = r"^(?:env|keychain|secret-manager|vault|file-secret):[A-Za-z0-9_./:@-]+$"
+SECRET_KEY = r"(?i)(?:authorization|api[_-]?key|(?:access[_-]?)?token|secret|password|credential|cookie)"
+
+
+def unreferenced_secrets(c: ColumnOrName) -> Column:
+    """Keys of a map that name a secret and hold a value that is no reference to one, or that hold a secret-like value."""
+    entries = F.map_entries(F.coalesce(col(c), F.create_map().cast("map<string,string>")))
+    secret = lambda e: (e.key.rlike(SECRET_KEY) & (F.coalesce(e.value, F.lit("")) != "") & ~F.coalesce(e.value.rlike(REFERENCE), F.lit(False))) | F.coalesce(mask_secrets(e.value) != e.value, F.lit(False))
+    return F.array_sort(F.transform(F.filter(entries, secret), lambda e: e.key))
+
+
+def redact_url(c: ColumnOrName) -> Column:
+    """A URL without user data and with sensitive query values replaced; other schemes become about:redacted."""
+    url = col(c)
+    bare = F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@?#]*@", "$1")
+    clean = F.regexp_replace(bare, r"(?i)([?&](?:token|key|api_key|apikey|secret|password|signature|access_token)=)[^&#]*", "$1[REDACTED]")
+    return F.when(F.lower(url).rlike("^https?://"), clean).otherwise(F.lit("about:redacted"))
+
+
+def base_name(c: ColumnOrName) -> Column:
+    return F.regexp_extract(col(c), "[^/\\\\]+$", 0)
+
+
+def render_template(template: str, values: dict[str, ColumnOrName]) -> Column:
+    """A text with ``{{NAME}}`` placeholders filled from columns; unknown names are refused when the plan is built."""
+    import re
+
+    unknown = set(re.findall(r"\{\{(\w+)\}\}", template)) - set(values)
+    if unknown:
+        raise ValueError(f"unknown placeholders: {sorted(unknown)}")
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(col(value).cast("string"), F.lit("")))
+    return out

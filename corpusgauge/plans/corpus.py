@@ -121,6 +121,25 @@ def source_mix(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(src, "source_id").groupBy("source_type").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
 
 
+def extraction_flags(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("id", F.array_join(T.extraction_flags("content"), ",").alias("flags")).where("flags <> ''")
+
+
+def line_repair(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.repair_lines(documents(spark, d)).select("id", F.md5("repaired").alias("repaired_hash"), "wraps", "hyphens")
+
+
+def redacted_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("id", F.size(T.redact_headers("metadata")).cast("bigint").alias("fields"), F.array_join(T.unreferenced_secrets("metadata"), ",").alias("secret_fields"))
+
+
+def scan_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The whole scan over the documents as they stand: chunks, rules, duplicates, quality, scores."""
+    from .. import pipeline
+
+    return pipeline.scan(documents(spark, d)).scores
+
+
 _TABLE_LINE = f"(({S.count_of('x', '|')}) >= 2 OR regexp_matches(x, {S.lit(normalize.GAPS)}))"
 _BARE = "trim(x, ' ')"
 _DIAGRAM = f"(length({_BARE}) >= 3 AND length({_BARE}) - length(translate({_BARE}, '+-|><=_/\\[]()', '')) >= 0.4 * length({_BARE}))"
@@ -136,6 +155,7 @@ _FENCED = "regexp_matches(line, '^#{1,6} +[^ ]')"
 QUERIES = {f.__name__: f for f in (
     doc_stats, normalize_text, control_markers, structure_lines, hash_integrity, boilerplate_lines, offset_map, chunk_source_ranges, heading_paths, heading_of_line, token_window_chunks, structure_chunks,
     language_vote, parser_route, glob_filter, text_functions, character_entropy, stable_ids, metadata_entries, chunk_documents, source_mix,
+    extraction_flags, line_repair, redacted_metadata, scan_scores,
 )}
 
 SQL = {
@@ -175,6 +195,9 @@ SQL = {
         SELECT id, round(-sum(n * 1.0 / t * log2(n * 1.0 / t)), 6) AS entropy FROM (SELECT id, n, sum(n) OVER (PARTITION BY id) AS t FROM n) GROUP BY id""",
     "stable_ids": f"WITH {S.CHUNKS} SELECT id, sha256('chunk:v1:' || document_id || ':' || CAST(\"index\" AS VARCHAR) || ':' || sha256(content)) AS chunk_key FROM chs",
     "metadata_entries": f"WITH {S.DOCS}, e AS (SELECT id, unnest(map_entries(metadata)) AS e FROM docs) SELECT id, e.key AS field, e.value AS value FROM e",
+    "redacted_metadata": f"""WITH {S.DOCS}, e AS (SELECT id, unnest(map_entries(metadata)) AS e FROM docs),
+        s AS (SELECT id, list_sort(list(e.key)) AS k FROM e WHERE (regexp_matches(e.key, {S.lit(T.SECRET_KEY)}) AND coalesce(e.value, '') <> '' AND NOT coalesce(regexp_matches(e.value, {S.lit(T.REFERENCE)}), false)) OR coalesce({S.masked('e.value')} <> e.value, false) GROUP BY id)
+        SELECT d.id, CAST(cardinality(metadata) AS BIGINT) AS fields, coalesce(array_to_string(s.k, ','), '') AS secret_fields FROM docs d LEFT JOIN s ON d.id = s.id""",
     "chunk_documents": f"WITH {S.DOCS}, {S.CHUNKS} SELECT c.document_id, count(*) AS chunks, bool_and(d.id IS NOT NULL) AS document_known FROM chs c LEFT JOIN docs d ON c.document_id = d.id GROUP BY ALL",
     "source_mix": f"WITH {S.DOCS} SELECT s.source_type, count(*) AS documents, CAST(sum(length(content)) AS BIGINT) AS chars FROM docs d JOIN scan_sources s ON d.source.source_id = s.source_id GROUP BY ALL",
 }
