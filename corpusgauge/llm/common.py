@@ -34,8 +34,13 @@ def map_batches(
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
     schema: str,
     rows: int = 2000,
+    mbytes: int = 16,
 ) -> DataFrame:
-    """Apply ``make()`` (built once per task) to column dicts of at most ``rows`` rows."""
+    """Apply ``make()`` (built once per task) to column dicts of at most ``rows`` rows.
+
+    Fewer rows at a time where they are long, so that about ``mbytes`` of input are held as
+    Python objects; every row is processed whole whatever its length.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -44,8 +49,9 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            fit = max(1, min(rows, batch.num_rows * mbytes * 1_000_000 // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, fit):
+                part = batch.slice(at, fit)
                 out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in out_schema], schema=out_schema
