@@ -361,3 +361,32 @@ def test_paged_source(spark):
     spark.dataSource.register(PagedSource)
     df = spark.read.format("corpusgauge_paged").option("pages", "3").option("fetcher", "json.loads").load()
     assert df.columns == ["id", "title", "content"] and df.rdd.getNumPartitions() == 3
+
+
+def test_localized(spark):
+    from corpusgauge.operators import localize
+
+    f = spark.createDataFrame([("STATIC-URL-001",), ("OTHER",)], "rule_id string")
+    assert [r.title for r in localize.localized(f, "tr-TR").collect()] == ["Şüpheli bağlantı", "OTHER"]
+    assert [r.title for r in localize.localized(f, "de").collect()] == ["Suspicious link", "OTHER"]
+    assert f.select(localize.coverage_reason(F.lit("no chunks"), F.lit("tr")).alias("r")).first().r == "parça yok"
+
+
+def test_progress(spark):
+    from corpusgauge.operators import progress
+
+    df, seen = progress.observed(spark.range(7), "rows7")
+    df.collect()
+    assert seen.get == {"rows": 7}
+    got = []
+
+    def bad(kind, fields):
+        raise RuntimeError
+
+    progress.Events(bad, lambda k, f: got.append((k, f))).emit("stage", n=1)
+    assert got == [("stage", {"n": 1})]
+    with progress.time_limit(spark, 30, "quick"):
+        assert spark.range(3).count() == 3
+    old = {"scores": {"security": 90.0, "knowledge": 80.0, "consistency": 1.0}, "finding_counts": {"critical": 1}, "consistency": {}, "findings": [{"category": "consistency"}, {"category": "url"}]}
+    new = progress.upgrade_report(old)
+    assert new["scores"] == {"security": 90.0, "knowledge": 80.0, "overall": 54.99} and len(new["findings"]) == 1 and "consistency" not in new
