@@ -289,3 +289,24 @@ def similar_chunks(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: i
         .groupBy("chunk_id_a", "chunk_id_b")
         .agg(F.max("similarity").alias("similarity"))
     )
+
+
+def groups(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row a chunk of a group: (chunk_id, class_id, group_id, links, similarity).
+
+    A group is a connected component of classes, or a class of several equal chunks; ``links``
+    counts the class's similar other classes, ``similarity`` is the least in its group (1.0 for equal
+    texts alone). Copies are never expanded into pairs.
+    """
+    from ..operators.graph import connected_components
+
+    inside = members(chunks, min_chars)
+    pairs = similar_classes(chunks, threshold, min_chars)
+    comp = connected_components(pairs, "class_a", "class_b").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    least = pairs.join(comp.withColumnRenamed("class_id", "class_a"), "class_a").groupBy("group_id").agg(F.min("similarity").alias("similarity"))
+    ends = pairs.select(F.col("class_a").alias("class_id")).unionByName(pairs.select(F.col("class_b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("links"))
+    copies = inside.groupBy("class_id").agg(F.count("*").alias("copies"))
+    grouped = comp.join(least, "group_id").join(ends, "class_id")
+    known = copies.join(grouped, "class_id", "left").where("group_id is not null or copies > 1")
+    one = known.select("class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.round(F.coalesce("similarity", F.lit(1.0)), 6).alias("similarity"))
+    return inside.join(one, "class_id").select("chunk_id", "class_id", "group_id", "links", "similarity")

@@ -64,6 +64,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_chunks(table(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, d, "chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.found_markup(table(spark, d, "scan_documents"))
 

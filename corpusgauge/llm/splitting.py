@@ -94,7 +94,7 @@ def split_text(
         begin[i] = 0 if i == 0 else max(at, int(p) - max_chars // 4)
     begin_tok = np.searchsorted(np.array(ends), begin, side="right")
     n = max(-(-len(starts) // max(1, max_tokens - overlap)), -(-len(text) // (max_chars - 0)))
-    ideal_t, ideal_c = len(starts) / n, len(text) / n
+    ideal_t, ideal_c = max(len(starts) / n, 1e-9), len(text) / n
     cost = np.full(len(pos), np.inf)
     back = np.zeros(len(pos), dtype=np.int64)
     cost[0] = 0

@@ -19,7 +19,7 @@ def items(spark, *texts):
 # 1 splitting
 
 
-@pytest.mark.parametrize("text", ["word " * 3000, "x" * 9000, "。".join("字" * 30 for _ in range(200)), "# A\n\n" + "One sentence here. " * 500, ("a " * 40 + "\n\n") * 60])
+@pytest.mark.parametrize("text", ["word " * 3000, " " * 9000, "\n" * 4500, "x" * 9000, "。".join("字" * 30 for _ in range(200)), "# A\n\n" + "One sentence here. " * 500, ("a " * 40 + "\n\n") * 60])
 @pytest.mark.parametrize("overlap", [0, 30])
 def test_pieces_keep_the_limits(text, overlap):
     pieces = splitting.split_text(text, 500, 4000, overlap)
@@ -140,6 +140,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.similar_chunks(df.limit(0)).count() == 0
 
 
+def test_groups(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [("a", base), ("b", base + " more"), ("c", base), ("d", "lone " * 40 + "text"), ("e", "twin " * 41), ("f", "twin " * 41), ("g", None)]
+    got = {r.chunk_id: r for r in near_duplicates.groups(spark.createDataFrame(rows, "id string, normalized_content string")).collect()}
+    assert set(got) == {"a", "b", "c", "e", "f"}
+    assert got["a"].group_id == got["b"].group_id == got["c"].group_id != got["e"].group_id == got["f"].group_id
+    assert (got["a"].links, got["e"].links, got["e"].similarity) == (1, 0, 1.0) and 0.7 <= got["b"].similarity < 1
+
+
 def test_sketch_never_overstates():
     signer = near_duplicates.Signer()
     a, b = "the same beginning " * 12 + "end one", "the same beginning " * 12 + "finish two"
