@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -70,13 +71,18 @@ def _pairs(text: str) -> list[tuple[int, int, str]]:
             else:
                 stack.append((c, at))
             continue
-        top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] != '"' and c in OPEN[stack[k][0]]), None)
+        top = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 40), -1) if stack[k][0] != '"' and c in OPEN[stack[k][0]]), None)
         if top is not None:
             out.append((stack[top][1], at, stack[top][0]))
             del stack[top:]
         elif c in OPEN and c != "»":
             stack.append((c, at))
-    return [p for p in out if p[1] - p[0] <= MAX_PAIR]
+    return sorted(p for p in out if p[1] - p[0] <= MAX_PAIR)
+
+
+def _opens(pairs: list[tuple[int, int, str]], at: int) -> bool:
+    k = bisect_left(pairs, (at,))
+    return k < len(pairs) and pairs[k][0] == at
 
 
 class Splitter:
@@ -152,15 +158,17 @@ class Splitter:
         stop = para[i:j]
         opened = None
         if pairs:
-            around = [p for p in pairs if p[0] < i and j <= p[1]]
+            # no pair is longer than MAX_PAIR, so only the last ones opened can hold the stop
+            near = pairs[bisect_left(pairs, (i - MAX_PAIR - 1,)) : bisect_left(pairs, (i,))]
+            around = [p for p in near if j <= p[1]]
             while around:
                 inner = max(around)
                 if para[j : inner[1]].strip():
                     return None
                 j = inner[1] + 1
                 opened = inner
-                around = [p for p in pairs if p[0] < inner[0] and j <= p[1]]
-        while j < len(para) and para[j] in CLOSERS and not any(p[0] == j for p in pairs):
+                around = [p for p in near if p[0] < inner[0] and j <= p[1]]
+        while j < len(para) and para[j] in CLOSERS and not _opens(pairs, j):
             j += 1
         ideographic = stop[-1] in IDEOGRAPHIC
         spaced = para[j].isspace() if j < len(para) else True
