@@ -92,12 +92,12 @@ def glob_filter(spark: SparkSession, d: str) -> DataFrame:
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     title = F.coalesce("title", F.lit(""))
     return documents(spark, d).select(
-        "id", T.safe_filename(title).alias("file_name"), T.truncate("content", 80).alias("short"), T.guard_cell(F.substring("content", 1, 40)).alias("cell"), T.rot13(F.substring("content", 1, 60)).alias("turned"), T.fold(title).alias("folded_title")
+        "id", T.safe_filename(title).alias("file_name"), T.truncate("content", 80).alias("short"), T.guard_cell("content").alias("cell"), T.rot13("content").alias("turned"), T.fold(title).alias("folded_title")
     )
 
 
 def character_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("id", F.round(T.entropy(F.substring("content", 1, 400)), 6).alias("entropy"))
+    return documents(spark, d).select("id", F.round(T.entropy("content"), 6).alias("entropy"))
 
 
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:

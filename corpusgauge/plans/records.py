@@ -161,10 +161,10 @@ def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
 
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     """Sitemaps composed from each source's documents; foreign origins and repeats fall out."""
-    ids = documents(spark, d).where("source.source_id is not null").groupBy(F.col("source.source_id").alias("s")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    ids = documents(spark, d).where("source.source_id is not null").select(F.col("source.source_id").alias("s"), "id")
     base = F.concat(F.lit("https://"), "s", F.lit(".example/"))
-    loc = F.transform("ids", lambda x: F.concat(F.lit("<url><loc> "), F.when(F.substring(x, -1, 1).isin("0", "1"), F.lit("http://other.example/")).otherwise(base), F.substring(x, 5, 3), F.lit(" </loc></url>")))
-    return web.sitemap_urls(ids.select(base.alias("base_url"), F.concat(F.lit("<urlset>"), F.array_join(loc, "\n"), F.lit("</urlset>")).alias("xml")))
+    loc = F.concat(F.lit("<url><loc> "), F.when(F.substring("id", -1, 1).isin("0", "1"), F.lit("http://other.example/")).otherwise(base), "id", F.lit(" </loc></url>"))
+    return web.sitemap_entry_urls(web.places(ids, "s", "id").select(base.alias("base_url"), F.concat(F.lit("<urlset>"), loc, F.lit("</urlset>")).alias("xml"), "place"))
 
 
 def environment_classes(spark: SparkSession, d: str) -> DataFrame:

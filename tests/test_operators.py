@@ -390,3 +390,36 @@ def test_progress(spark):
     old = {"scores": {"security": 90.0, "knowledge": 80.0, "consistency": 1.0}, "finding_counts": {"critical": 1}, "consistency": {}, "findings": [{"category": "consistency"}, {"category": "url"}]}
     new = progress.upgrade_report(old)
     assert new["scores"] == {"security": 90.0, "knowledge": 80.0, "overall": 54.99} and len(new["findings"]) == 1 and "consistency" not in new
+
+
+def table_of(folder, name, df):
+    df.withColumn("ingested_at", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_text_queries_read_whole_contents(spark, tmp_path):
+    import math
+
+    from corpusgauge.plans import corpus
+
+    long = "a" * 400 + "bcde" * 500
+    d = table_of(tmp_path, "scan_documents", docs(spark, long, "=x" * 100, "aa"))
+    got = {r.id: r.entropy for r in corpus.character_entropy(spark, d).collect()}
+    shares = [400 / 2400, *[500 / 2400] * 4]
+    assert abs(got["d0"] + sum(p * math.log2(p) for p in shares)) < 1e-5 and got["d2"] == 0
+    out = {r.id: r for r in corpus.text_functions(spark, d).collect()}
+    assert out["d0"].turned == "n" * 400 + "opqr" * 500 and out["d0"].cell == long
+    assert out["d1"].cell == "'" + "=x" * 100
+
+
+def test_sitemap_rows_keep_whole_ids(spark, tmp_path):
+    from corpusgauge.plans import records
+
+    ids = [(f"doc_{'abcdef'[i % 6]}{i:04d}", f"s{i % 7 // 6}") for i in range(300)]
+    rows = spark.createDataFrame([(i, (s, *[None] * 7), None, "x", None, None, [], {}, None, None, "x") for i, s in ids], DOC)
+    got = sorted((r.base_url, r.url, r.place) for r in records.sitemap_urls(spark, table_of(tmp_path, "scan_documents", rows)).collect())
+    want = []
+    for s in ("s0", "s1"):
+        base = f"https://{s}.example/"
+        want += [(base, base + i, n) for n, i in enumerate(sorted(i for i, t in ids if t == s)) if i[-1] not in "01"]
+    assert got == sorted(want)
