@@ -423,3 +423,12 @@ def test_sitemap_rows_keep_whole_ids(spark, tmp_path):
         base = f"https://{s}.example/"
         want += [(base, base + i, n) for n, i in enumerate(sorted(i for i, t in ids if t == s)) if i[-1] not in "01"]
     assert got == sorted(want)
+
+
+def test_near_pairs_keep_equal_shingles_of_different_texts(spark):
+    base = " ".join(WORDS * 2)
+    texts = [base, base.upper(), base.replace(" ", "  "), base + "!"]
+    items = spark.createDataFrame([("chunk", f"i{n}", "d", "", t) for n, t in enumerate(texts)], "item_type string, item_id string, document_id string, path string, content string")
+    pairs = duplicates.near_pairs(items).collect()
+    assert len(pairs) == 6 and {r.score for r in pairs} == {1.0}
+    assert duplicates.near_pairs(items, 1.0).count() == 6
