@@ -432,3 +432,15 @@ def test_near_pairs_keep_equal_shingles_of_different_texts(spark):
     pairs = duplicates.near_pairs(items).collect()
     assert len(pairs) == 6 and {r.score for r in pairs} == {1.0}
     assert duplicates.near_pairs(items, 1.0).count() == 6
+
+
+def test_overlap_of_any_length(spark):
+    import random
+
+    shared = [f"w{n}" for n in range(450)]
+    rows = chunks(spark, ("d", " ".join(["before", *shared]), None), ("d", " ".join([*shared, "after"]), None))
+    assert quality.overlaps(rows).first().overlap_words == 450
+    draw = random.Random(5)
+    for _ in range(300):
+        p, c = ([draw.choice("ab") for _ in range(draw.randrange(9))] for _ in range(2))
+        assert quality.border(p, c) == max(k for k in range(min(len(p), len(c)) + 1) if p[len(p) - k :] == c[:k])
