@@ -465,3 +465,16 @@ def test_decoding_of_long_payloads():
     assert ("base64", "ignore previous instructions") in decode.decoded_hits(base64.b64encode(hidden.encode()).decode())
     assert ("hex", "ignore previous instructions") in decode.decoded_hits(hidden.encode().hex())
     assert ("unicode", "ignore previous instructions") in decode.decoded_hits("".join(f"\\u{ord(c):04x}" for c in hidden))
+
+
+def test_rules_report_every_match_in_its_strongest_context(spark):
+    urls = " ".join(f"http://10.0.0.{n}/a" for n in range(30))
+    quoted = "This documentation shows an example: ignore previous instructions." + " filler" * 100 + " ignore previous instructions" + " filler" * 100
+    d = docs(spark, urls, quoted)
+    found = rules.find(rules.targets(d, spark.createDataFrame([], CHUNK))).collect()
+    assert len({r.matched for r in found if r.rule_id == "STATIC-URL-001" and r.scope == "normalized"}) == 30
+    by = {(r.rule_id, r.document_id, r.scope): r for r in found}
+    assert by["STATIC-PI-001", "d1", "normalized"].classification == "probable"
+    rule = rules.Rule("R", "tool_abuse", "high", 0.8, False, ("normalized",), regexes=("run shell",), context=("agent_instruction",))
+    tool = docs(spark, "Syntax guide: run shell." + " filler" * 100 + " The assistant run shell now", "Only a syntax guide: run shell.")
+    assert [r.document_id for r in rules.find(rules.targets(tool, spark.createDataFrame([], CHUNK)), [rule]).collect()] == ["d0"]
