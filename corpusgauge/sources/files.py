@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 MAX_BYTES = 20_000_000
 TEXT_EXTENSIONS = "txt md markdown rst adoc csv tsv json jsonl yaml yml xml html htm log".split()
 ARCHIVE_EXTENSIONS = "docx pptx xlsx odt epub".split()
-ENTRY_LIMIT, ENTRY_BYTES, RATIO = 1000, 50_000_000, 200
+ENTRY_BYTES, RATIO = 50_000_000, 200
 
 
 def glob_pattern(pattern: str) -> str:
@@ -110,7 +110,7 @@ def _natural(name: str) -> list:
 
 
 def parse_archive(data: bytes, extension: str) -> tuple[str, list[str]]:
-    """Text of an office archive and warnings; entity declarations, path tricks and bombs are refused."""
+    """Text of all members of an office archive and warnings; entity declarations, path tricks and bombs are refused."""
     warnings: list[str] = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         infos = z.infolist()
@@ -120,7 +120,7 @@ def parse_archive(data: bytes, extension: str) -> tuple[str, list[str]]:
             raise ValueError("archive has unsafe paths")
         if any("vbaProject" in i.filename for i in infos):
             warnings.append("macros_present")
-        names = sorted((i.filename for i in infos if re.search(_MEMBERS[extension], i.filename)), key=_natural)[:ENTRY_LIMIT]
+        names = sorted((i.filename for i in infos if re.search(_MEMBERS[extension], i.filename)), key=_natural)
         parts = []
         for name in names:
             raw = z.read(name)
@@ -152,8 +152,9 @@ PARSED = "external_id string, title string, content string, encoding string, war
 
 
 def read_documents(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Discovered files, decoded and parsed; a file that fails gives a row with its error, the others go on."""
-    listed = discover(spark, root, **options).where("skipped is null").select("external_id", "path")
+    """Discovered files, decoded and parsed; a file that fails or is skipped gives a row with its error, the others go on."""
+    found = discover(spark, root, **options)
+    listed = found.where("skipped is null").select("external_id", "path")
     data = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +181,12 @@ def read_documents(spark: SparkSession, root: str, **options) -> DataFrame:
                     rows.append((ident, stem, None, None, [], {}, f"{type(error).__name__}: {error}"[:300]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in re.split(r", (?=\w+ )", PARSED)])
 
-    return listed.join(data, "path").select("external_id", "content").mapInPandas(run, PARSED)
+    none = F.lit(None)
+    skipped = found.where("skipped is not null").select(
+        "external_id", none.cast("string").alias("title"), none.cast("string").alias("content"), none.cast("string").alias("encoding"), F.array().cast("array<string>").alias("warnings"),
+        F.create_map().cast("map<string,string>").alias("metadata"), F.concat(F.lit("skipped: "), "skipped").alias("error"),
+    )
+    return listed.join(data, "path").select("external_id", "content").mapInPandas(run, PARSED).unionByName(skipped)
 
 
 def candidates(items: DataFrame) -> DataFrame:

@@ -478,3 +478,16 @@ def test_rules_report_every_match_in_its_strongest_context(spark):
     rule = rules.Rule("R", "tool_abuse", "high", 0.8, False, ("normalized",), regexes=("run shell",), context=("agent_instruction",))
     tool = docs(spark, "Syntax guide: run shell." + " filler" * 100 + " The assistant run shell now", "Only a syntax guide: run shell.")
     assert [r.document_id for r in rules.find(rules.targets(tool, spark.createDataFrame([], CHUNK)), [rule]).collect()] == ["d0"]
+
+
+def test_whole_archives_and_skipped_files(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.pptx", "w") as z:
+        for n in range(1, 1204):
+            z.writestr(f"ppt/slides/slide{n}.xml", f'<a:p xmlns:a="u"><a:t>slide {n}</a:t></a:p>')
+    (tmp_path / "small.txt").write_text("fine")
+    (tmp_path / "large.txt").write_text("x" * 500_000)
+    (tmp_path / "odd.bin").write_text("x")
+    got = {r.external_id: r for r in files.read_documents(spark, str(tmp_path), max_bytes=400_000).collect()}
+    assert got["a.pptx"].content.split("\n") == [f"slide {n}" for n in range(1, 1204)]
+    assert got["large.txt"].error == "skipped: too_large" and got["odd.bin"].error == "skipped: extension"
+    assert got["small.txt"].content == "fine" and got["small.txt"].error is None
