@@ -189,9 +189,9 @@ SQL = {
     "text_functions": f"""WITH {S.DOCS} SELECT id,
             substring(regexp_replace(regexp_replace(lower(trim(coalesce(title, ''), ' ')), '[^a-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 120) AS file_name,
             CASE WHEN length(content) > 80 THEN substring(content, 1, 68) || '…[truncated]' ELSE content END AS short,
-            CASE WHEN regexp_matches(substring(content, 1, 40), '^[=+\\-@\\t\\r]') THEN '''' || substring(content, 1, 40) ELSE substring(content, 1, 40) END AS cell,
-            translate(substring(content, 1, 60), '{T.ROT_FROM}', '{T.ROT_TO}') AS turned, {S.fold("coalesce(title, '')")} AS folded_title FROM docs""",
-    "character_entropy": f"""WITH {S.DOCS}, c AS (SELECT id, unnest(string_split(substring(content, 1, 400), '')) AS ch FROM docs), n AS (SELECT id, ch, count(*) AS n FROM c GROUP BY ALL)
+            CASE WHEN regexp_matches(content, '^[=+\\-@\\t\\r]') THEN '''' || content ELSE content END AS cell,
+            translate(content, '{T.ROT_FROM}', '{T.ROT_TO}') AS turned, {S.fold("coalesce(title, '')")} AS folded_title FROM docs""",
+    "character_entropy": f"""WITH {S.DOCS}, c AS (SELECT id, unnest(string_split(content, '')) AS ch FROM docs), n AS (SELECT id, ch, count(*) AS n FROM c GROUP BY ALL)
         SELECT id, round(-sum(n * 1.0 / t * log2(n * 1.0 / t)), 6) AS entropy FROM (SELECT id, n, sum(n) OVER (PARTITION BY id) AS t FROM n) GROUP BY id""",
     "stable_ids": f"WITH {S.CHUNKS} SELECT id, sha256('chunk:v1:' || document_id || ':' || CAST(\"index\" AS VARCHAR) || ':' || sha256(content)) AS chunk_key FROM chs",
     "metadata_entries": f"WITH {S.DOCS}, e AS (SELECT id, unnest(map_entries(metadata)) AS e FROM docs) SELECT id, e.key AS field, e.value AS value FROM e",

@@ -100,7 +100,7 @@ _POS = """flags AS (SELECT id, document_id, "index", coalesce(metadata.forced_sp
     pos AS (SELECT id, document_id, "index", forced, row_number() OVER (PARTITION BY document_id ORDER BY "index", id) - 1 AS position, count(*) OVER (PARTITION BY document_id) AS document_chunks, row_number() OVER (PARTITION BY document_id, run ORDER BY "index", id) - 1 AS run_position FROM runs)"""
 _OVER = f"""ow AS (SELECT document_id, "index", id, {S.words('content')} AS cur FROM chs),
     op AS (SELECT document_id, id, cur, lag(cur) OVER o AS prev, lag(id) OVER o AS previous_id FROM ow WINDOW o AS (PARTITION BY document_id ORDER BY "index", id)),
-    ov AS (SELECT id, previous_id, CAST(coalesce(list_max(list_filter(range(1, least(len(prev), len(cur), 400) + 1), lambda k: list_slice(prev, len(prev) - k + 1, len(prev)) = list_slice(cur, 1, k))), 0) AS BIGINT) AS overlap_words, cur, prev FROM op WHERE previous_id IS NOT NULL),
+    ov AS (SELECT id, previous_id, CAST(coalesce(list_max(list_filter(range(1, least(len(prev), len(cur)) + 1), lambda k: list_slice(prev, len(prev) - k + 1, len(prev)) = list_slice(cur, 1, k))), 0) AS BIGINT) AS overlap_words, cur, prev FROM op WHERE previous_id IS NOT NULL),
     ovl AS (SELECT id, previous_id, overlap_words, round(CASE WHEN len(cur) > 0 THEN overlap_words * 1.0 / len(cur) ELSE 0 END, 6) AS overlap_ratio,
         round(CASE WHEN len(list_distinct(list_concat(prev, cur))) > 0 THEN len(list_intersect(list_distinct(prev), list_distinct(cur))) * 1.0 / len(list_distinct(list_concat(prev, cur))) ELSE 0 END, 6) AS word_jaccard FROM ov)"""
 

@@ -249,7 +249,7 @@ SQL = {
     "enqueue_idempotent": f"WITH {S.JOBS} SELECT DISTINCT kind, idempotency_key FROM jbs a WHERE status <> 'succeeded' AND NOT EXISTS (SELECT 1 FROM jbs b WHERE b.status = 'succeeded' AND b.kind IS NOT DISTINCT FROM a.kind AND b.idempotency_key IS NOT DISTINCT FROM a.idempotency_key)",
     "rate_limit_window": "SELECT event_id, n AS in_window, n > 2 AS over_limit FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS n FROM events)",
     "sitemap_urls": f"""WITH {S.DOCS}, i AS (SELECT source.source_id AS s, id, row_number() OVER (PARTITION BY source.source_id ORDER BY id) - 1 AS place_at FROM docs WHERE source.source_id IS NOT NULL)
-        SELECT 'https://' || s || '.example/' AS base_url, 'https://' || s || '.example/' || substring(id, 5, 3) AS url, min(place_at) AS place FROM i WHERE right(id, 1) NOT IN ('0', '1') GROUP BY ALL""",
+        SELECT 'https://' || s || '.example/' AS base_url, 'https://' || s || '.example/' || id AS url, min(place_at) AS place FROM i WHERE right(id, 1) NOT IN ('0', '1') GROUP BY ALL""",
     "environment_classes": "SELECT source_type, CASE WHEN lower(source_name) LIKE '%wiki%' THEN 'wiki' WHEN lower(source_name) LIKE '%handbook%' OR lower(source_name) LIKE '%runbook%' THEN 'handbook' WHEN lower(source_name) LIKE '%desk%' THEN 'helpdesk' ELSE 'other' END AS kind, count(*) AS sources FROM scan_sources GROUP BY ALL",
     "source_identity": "SELECT source_id, CASE WHEN source_type = 'filesystem' THEN '/srv/' || source_id ELSE 'https://' || lower(source_id) || '.example:443/docs' END AS identity FROM scan_sources",
     "events_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",

@@ -182,12 +182,12 @@ _URLS = f"u AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, {S.lit('(
 _AUTH = "regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1)"
 _HOST = f"regexp_replace(regexp_replace({_AUTH}, '^.*@', ''), ':[0-9]*$', '')"
 _OBS = "obs AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 17 <> 0 THEN 200 END AS status, text AS body, coalesce(category = 'incident', false) AS tool, doc_id % 23 = 0 AS err FROM documents)"
-_LADDER = """ev AS (SELECT id, err, tool, status IS NULL OR (coalesce(body, '') = '' AND NOT tool) AS missing, substring(coalesce(body, ''), 1, 4096) AS b FROM obs),
+_LADDER = """ev AS (SELECT id, err, tool, status IS NULL OR (coalesce(body, '') = '' AND NOT tool) AS missing, coalesce(body, '') AS b FROM obs),
     hits AS (SELECT *, contains(lower(b), 'access matrix') AS u1, trim(b, ' ') = 'Yes!' AS u3, contains(lower(b), 'second reviewer') AS s1, contains(lower(b), 'healthy') AS a1 FROM ev),
     verd AS (SELECT id, CASE WHEN err THEN 0 WHEN missing THEN 1 WHEN tool AND NOT s1 THEN 2 WHEN (u1 OR tool OR u3) AND s1 THEN 3 WHEN u3 THEN 4 WHEN u1 OR tool THEN 5 WHEN s1 AND NOT a1 THEN 6 WHEN a1 THEN 7 ELSE 8 END AS k FROM hits)"""
 _LABEL = "(['inconclusive','inconclusive','confirmed','ambiguous','confirmed','probable','not_detected','ambiguous','ambiguous'])[k + 1]"
 _SURE = "([1.0, 0.95, 0.98, 0.55, 0.94, 0.76, 0.9, 0.45, 0.3])[k + 1]"
-_BODY = "substring(coalesce(body, ''), 1, 4096)"
+_BODY = "coalesce(body, '')"
 _SIGNALS = f"SELECT id, {_any(_BODY, evaluation.REFUSALS)} AS refusal, {_any(_BODY, evaluation.LEAKS)} AS leak, contains(lower({_BODY}), 'the citation map') AS echo FROM obs"
 _TARGETS = """t AS (SELECT id AS document_id, 'normalized' AS scope, content AS text FROM docs WHERE id NOT IN (SELECT document_id FROM chs WHERE document_id IS NOT NULL)
     UNION ALL SELECT id, 'raw', content FROM docs WHERE id NOT IN (SELECT document_id FROM chs WHERE document_id IS NOT NULL) UNION ALL SELECT document_id, 'chunk', content FROM chs UNION ALL SELECT id, 'title', title FROM docs

@@ -96,9 +96,9 @@ def _groups(items: str) -> str:
 
 _SETS = f"""sets AS (SELECT key, {S.shingles('content')} AS s, list_distinct({S.words('content')}) AS w FROM (SELECT sha256(content) AS key, any_value(content) AS content FROM citems WHERE length(trim(content, ' ')) >= 120 GROUP BY 1)),
     sh AS (SELECT key, unnest(s) AS t FROM sets), com AS (SELECT a.key AS l, b.key AS r, count(*) AS n FROM sh a JOIN sh b ON a.t = b.t AND a.key < b.key GROUP BY ALL),
-    pairs AS (SELECT l AS left_key, r AS right_key, round(greatest(n * 1.0 / greatest(len(a.s), len(b.s)), CASE WHEN least(len(a.w), len(b.w)) * 10 >= 8 * greatest(len(a.w), len(b.w)) THEN 0.9 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END), 6) AS score
+    pairs AS (SELECT l AS left_key, r AS right_key, greatest(n * 1.0 / greatest(len(a.s), len(b.s)), CASE WHEN least(len(a.w), len(b.w)) * 10 >= 8 * greatest(len(a.w), len(b.w)) THEN 0.9 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END) AS exact
         FROM com JOIN sets a ON a.key = l JOIN sets b ON b.key = r),
-    near AS (SELECT * FROM pairs WHERE score >= 0.8 AND score < 1.0)"""
+    near AS (SELECT left_key, right_key, round(exact, 6) AS score FROM pairs WHERE exact >= 0.8 - 1e-12)"""
 _REACH = """e AS (SELECT left_key AS a, right_key AS b FROM near UNION SELECT right_key, left_key FROM near),
     reach AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
     comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
