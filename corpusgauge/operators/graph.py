@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", fallback_dir: str = "/tmp/corpusgauge-checkpoints", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reached, for every node of an edge.
 
     Each round replaces the edges by large-star and small-star edges, so the rounds
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", fallback_
     gathers its component in one task. Lineage is cut by checkpoint() into the shared folder.
     """
     spark = edges.sparkSession
-    checkpoint_dir(spark, fallback_dir)
+    checkpoint_dir(spark)
     current = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct().checkpoint()
     previous = None
     for _ in range(max_rounds):

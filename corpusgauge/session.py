@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,13 +25,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named in spark.checkpoint.dir; ``fallback`` only where it is unset."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir.
+
+    Where it is unset, a cluster is refused; a local master, whose one machine is
+    every executor, gets a folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = fallback
-        if not named:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = os.path.join(tempfile.gettempdir(), f"corpusgauge-{spark.sparkContext.applicationId}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -76,7 +76,7 @@ def places(rows: DataFrame, group: str, order: str) -> DataFrame:
     checkpointed: the sizes and the rows must come of one cut.
     """
     spark = rows.sparkSession
-    checkpoint_dir(spark, "/tmp/corpusgauge-checkpoints")
+    checkpoint_dir(spark)
     cut = rows.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     before, shifts = 0, []

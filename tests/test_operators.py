@@ -491,3 +491,19 @@ def test_whole_archives_and_skipped_files(spark, tmp_path):
     assert got["a.pptx"].content.split("\n") == [f"slide {n}" for n in range(1, 1204)]
     assert got["large.txt"].error == "skipped: too_large" and got["odd.bin"].error == "skipped: extension"
     assert got["small.txt"].content == "fine" and got["small.txt"].error is None
+
+
+def test_checkpoint_folder_is_refused_on_a_cluster_without_one():
+    from types import SimpleNamespace
+
+    from corpusgauge.session import checkpoint_dir
+
+    made = []
+    context = SimpleNamespace(master="spark://host:7077", applicationId="app-1", getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(bare)
+    context.master = "local[4]"
+    assert checkpoint_dir(bare) == made[0]
+    shared = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "/shared/cp"), sparkContext=SimpleNamespace(**{**vars(context), "master": "yarn"}))
+    assert checkpoint_dir(shared) == "/shared/cp"
