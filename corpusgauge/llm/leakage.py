@@ -7,18 +7,21 @@ the item's and containment turns into a Jaccard similarity that MinHash can see,
 however long the document. Window minima of all octaves are built from the same
 minima of 16-shingle blocks. A (window, item) pair that agrees in ``MIN_AGREE`` of
 ``HASHES`` minima is a candidate; candidates are verified by exact containment of
-the item's distinctive shingles in one place and by the share of the item's words
-that stand there in order.
+the item's shingles in one place and by the share of the item's words that stand
+there in order.
 
 Shingles have three words (characters in Chinese and kana), not five: the problem
 asks for passages in which single words are changed, and half an item with every
-eighth word changed keeps few five-word shingles. A shingle is distinctive when at most
-``MAX_SHARED`` different items have it: stock openings and phrases count for nothing.
-
-The items are a fixed, small table (a few hundred rows) and travel as one
-broadcast-sized closure; documents are never shuffled. Null, empty and blank texts
-contain nothing. Items without a distinctive shingle cannot be told from stock text
-and are never reported. Every id of a re-issued item is reported.
+eighth word changed keeps few five-word shingles. Every shingle of an item is searched
+for; in the containment it weighs the less the more different items have it (one
+over their number), so a stock opening weighs next to nothing beside an item's own
+words, while items that are variants of each other are all found. Minima are
+taken over each item's rarest shingles (``RARE`` of them at least).
+
+The items are a small table (``MAX_ITEMS`` at most); their index is built once and goes to
+the executors as one broadcast. Documents are never shuffled. Null, empty and blank texts
+contain nothing. Items under ``SHINGLE`` words have no shingle and are never reported. Every
+id of a re-issued item is reported.
 """
 
 from __future__ import annotations
@@ -37,10 +40,10 @@ SHINGLE = 3
 HASHES = 64
 MIN_AGREE = 2
 BLOCK = 16
-MAX_SHARED = 2
+RARE = 0.6
 MIN_CONTAINMENT = 0.25
 MIN_WORDS = 0.5
-MAX_GAP = 60  # words of foreign text allowed between two parts of one leak
+MAX_GAP = 120  # words of foreign text (one long sentence) allowed between two parts of one leak
 MAX_ITEMS = 200_000
 
 CJK = "\u3040-ヿ㐀-䶿一-鿿"
@@ -57,6 +60,9 @@ def words_of(text: str) -> list[str]:
 
 
 class _WordHash(dict):
+    def __reduce__(self):  # a broadcast index starts with an empty cache
+        return (_WordHash, ())
+
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
@@ -102,12 +108,16 @@ class LeakIndex:
                 self.ids.append(sorted(set(group)))
                 shingles.append(_shingles(h))
         shared = Counter(s for x in shingles for s in set(x.tolist()))
-        self.own: list[dict[int, int]] = []  # distinctive shingle -> place in the item
+        self.own: list[dict[int, int]] = []  # shingle -> place in the item
+        self.weight: list[dict[int, float]] = []  # place -> one over the number of items that have its shingle
         for x in shingles:
-            self.own.append({s: i for i, s in reversed(list(enumerate(x.tolist()))) if shared[s] <= MAX_SHARED})
+            self.own.append({s: i for i, s in reversed(list(enumerate(x.tolist())))})
+            self.weight.append({i: 1 / shared[s] for s, i in self.own[-1].items()})
+        self.total = [sum(w.values()) for w in self.weight]
         rng = np.random.default_rng(seed)
         self.mul = rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
         self.add = rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+        keys = [self._searched(own, shared) for own in self.own]
         octave: dict[int, list[int]] = defaultdict(list)
         for i, own in enumerate(self.own):
             if own:
@@ -116,11 +126,25 @@ class LeakIndex:
         for size, members in sorted(octave.items()):
             tables = []
             for m, a in zip(self.mul, self.add):
-                least = np.array([self._permute(np.array(list(self.own[i]), dtype=np.uint64), m, a).min() for i in members])
+                least = np.minimum.reduceat(self._permute(np.concatenate([keys[i] for i in members]), m, a), np.cumsum([0, *(len(keys[i]) for i in members[:-1])]))
                 order = np.argsort(least, kind="stable")
                 tables.append((least[order], np.array(members)[order]))
             self.octaves.append((size, tables))
 
+    @staticmethod
+    def _searched(own: dict[int, int], shared: Counter) -> np.ndarray:
+        """The rarest shingles of an item, at least ``RARE`` of them, with all that are as rare.
+
+        What is left out cannot hold half an item by itself, so no leak escapes the search;
+        verification counts all shingles.
+        """
+        keys = np.array(list(own), dtype=np.uint64)
+        often = np.array([shared[s] for s in own])
+        if not len(keys):
+            return keys
+        limit = np.sort(often)[int(np.ceil(RARE * len(often))) - 1]
+        return keys[often <= limit]
+
     @staticmethod
     def _permute(shingles: np.ndarray, mul: np.uint32, add: np.uint32) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -174,7 +198,7 @@ class LeakIndex:
 
     def verify(self, words: list[int], shingles: list[int], item: int) -> tuple[float, float, int, int] | None:
         """Best place of the item: containment, share of words in order, first and last word."""
-        own, want = self.own[item], self.words[item]
+        own, want, weight = self.own[item], self.words[item], self.weight[item]
         anchors = [(p, own[s]) for p, s in enumerate(shingles) if s in own]
         best = None
         run: list[tuple[int, int]] = []
@@ -183,7 +207,7 @@ class LeakIndex:
             nonlocal best
             if not run:
                 return
-            containment = len({q for _, q in run}) / len(own)
+            containment = sum(weight[q] for q in {q for _, q in run}) / self.total[item]
             if containment < MIN_CONTAINMENT:
                 return
             lo, hi = run[0][0], run[-1][0] + SHINGLE
@@ -237,9 +261,10 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MAX_ITEMS} test items; index them in several calls")
     pairs = sorted((r.item_id, r.text) for r in rows if r.item_id is not None and r.text is not None)
     names = ("doc_id", "item_id", "containment", "word_share", "first_word", "last_word")
+    spread = documents.sparkSession.sparkContext.broadcast(LeakIndex(pairs))
 
     def make():
-        index = LeakIndex(pairs)
+        index = spread.value
 
         def step(cols):
             found = index.search(cols["text"])

@@ -312,3 +312,39 @@ def test_p1_against_sql(spark):
         assert {tuple(r) for r in queries.queries()[name](spark, data).collect()} == set(con.execute(sql).fetchall())
     for name, q in queries.queries().items():
         assert q(spark, data).columns, name
+
+
+def test_leaks_of_items_with_several_variants():
+    passage = " ".join(f"shared{i}" for i in range(40))
+    variants = [(n, f"{passage} " + " ".join(f"own{n}x{k}" for k in range(12))) for n in range(1, 5)]
+    index = leakage.LeakIndex(variants)
+    noise = " ".join(f"noise{i}" for i in range(60))
+    found = {item for _, item, *_ in index.search([f"{noise} {passage} {noise}"])}
+    assert found == {1, 2, 3, 4}
+    # a stock opening that many items have is no leak of them
+    opening = " ".join(f"stock{i}" for i in range(8))
+    items = [(n, f"{opening} " + " ".join(f"body{n}x{k}" for k in range(20))) for n in range(30)]
+    assert not leakage.LeakIndex(items).search([f"{noise} {opening} {noise}"])
+
+
+def test_leak_search_equals_an_exact_search_over_all_items():
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(n, " ".join(word() for _ in range(rng.randrange(12, 60)))) for n in range(40)]
+    texts = []
+    for _ in range(60):
+        parts = [" ".join(word() for _ in range(30))]
+        for n, text in rng.sample(items, 2):
+            words = text.split()
+            size = rng.randrange(len(words) // 3, len(words) + 1)
+            at = rng.randrange(len(words) - size + 1)
+            parts += [" ".join(words[at : at + size]), " ".join(word() for _ in range(30))]
+        texts.append(" ".join(parts))
+    index = leakage.LeakIndex(items)
+    got = {(row, item) for row, item, *_ in index.search(texts)}
+    want = set()
+    for row, text in enumerate(texts):
+        hashes = [index.hash[w] for w in leakage.words_of(text)]
+        shingles = leakage._shingles(np.array(hashes, dtype=np.uint64)).tolist()
+        want |= {(row, index.ids[i][0]) for i in range(len(index.words)) if index.verify(hashes, shingles, i)}
+    assert want and len(got & want) >= 0.98 * len(want) and got <= want
