@@ -11,25 +11,26 @@ further. Each class gets
 * one-permutation MinHash minima (densified) in ``BANDS`` bands of ``ROWS``.
 
 Classes that share a band form a block; blocks of one are dropped before any sketch
-moves. Comparison is tiled: a block is sorted by set size and cut into tiles of at
-most ``TILE`` classes, every tile pair is a unit of work of its own (so no block is ever in
-one task), and tile pairs, then row pairs, whose sizes differ beyond the radius are skipped;
-the rest is compared by numpy exclusive-or and bit counts. Survivors are verified on
-the true substring sets. The sketch test loses nothing; the blocks lose a pair of
+moves. Comparison is tiled: a block of more than ``TILE`` classes is cut by a hash into parts, every
+pair of parts is a unit of work of its own (no block is ranked or held in one task, and a
+class is copied at most ``SPLITS`` times until a part would pass ``PART`` classes), a unit is sorted by
+set size and cut into tiles, and tile pairs, then row pairs, whose sizes differ beyond the radius are
+skipped; the rest is compared by numpy exclusive-or and bit counts. Survivors are verified
+on the substring sets. The sketch test loses nothing; the blocks lose a pair of
 similarity exactly 0.70 with probability 0.0003, under 0.00001 at 0.75.
 
 Comparing all tile pairs of the collection instead of blocks would be quadratic; the
 method named is used within blocks for that reason. Null texts and texts under
-``MIN_CHARS`` take no part. Class ids are 64-bit hashes of the text.
+``MIN_CHARS`` take no part. A class is known by 128 bits of a cryptographic hash of its text;
+blocks carry 64-bit numbers, and texts that agree in these alone are told apart and compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import map_batches
 
@@ -39,6 +40,8 @@ MIN_CHARS = 150
 BANDS, ROWS = 64, 6
 SKETCH_BITS = 1024
 TILE = 1024
+SPLITS, PART = 32, 1 << 18
+COPIES = 1000  # equal chunks paired in one piece of work
 
 
 def substring_hashes(text: str, width: int = WIDTH) -> np.ndarray:
@@ -99,9 +102,17 @@ class Signer:
 
 
 def _classes(chunks: DataFrame, min_chars: int) -> DataFrame:
-    """(class_id, text) of every eligible row; rows of a class repeat."""
+    """(class_id, number, text) of every eligible row; rows of a class repeat."""
     text = F.col("normalized_content")
-    return chunks.where(F.length(text) >= min_chars).select(F.xxhash64(text).alias("class_id"), text.alias("text"))
+    return chunks.where(F.length(text) >= min_chars).select(_class_id(text).alias("class_id"), _number(text).alias("number"), text.alias("text"))
+
+
+def _class_id(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
+def _number(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _compare(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray, threshold: float) -> np.ndarray:
@@ -116,7 +127,7 @@ def compare_blocks(table: pa.Table, threshold: float, tile: int = 64) -> tuple[n
     Small groups are compared diagonal by diagonal for all groups at once, large ones
     tile against tile.
     """
-    ids = table["class_id"].to_numpy()
+    ids = table["number"].to_numpy()
     size = table["size"].to_numpy().astype(np.int64)
     side = table["tile"].to_numpy()
     words = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
@@ -145,8 +156,8 @@ def compare_blocks(table: pa.Table, threshold: float, tile: int = 64) -> tuple[n
             for y in range(x, s + n, tile):
                 ye = min(y + tile, s + n)
                 low, high = size[x:xe], size[y:ye]
-                if low.max() < threshold * high.min() or high.max() < threshold * low.min():
-                    continue  # the tiles' counts differ beyond the radius
+                if low.max() < threshold * high.min():
+                    break  # this tile's counts and those of all later ones differ beyond the radius
                 ok = _compare(words[x:xe, None], low[:, None], words[None, y:ye], high[None, :], threshold)
                 ok &= np.minimum(low[:, None], high[None, :]) >= threshold * np.maximum(low[:, None], high[None, :])
                 if apart:
@@ -163,15 +174,19 @@ def compare_blocks(table: pa.Table, threshold: float, tile: int = 64) -> tuple[n
     return pairs[0], pairs[1]
 
 
-def jaccard(a: str, b: str, width: int = WIDTH) -> float:
-    x = {a[i : i + width] for i in range(len(a) - width + 1)}
-    y = {b[i : i + width] for i in range(len(b) - width + 1)}
-    return len(x & y) / len(x | y) if x or y else 0.0
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted arrays of distinct hashes."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def candidate_pairs(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
-    """(class_a, class_b), a superset of the class pairs at or above the threshold."""
-    classes = _classes(chunks, min_chars)
+    """(class_a, class_b), numbers of classes: a superset of the pairs of unlike numbers at or above the threshold."""
+    classes = _classes(chunks, min_chars).select("number", "text")
 
     def make():
         signer = Signer()
@@ -179,38 +194,34 @@ def candidate_pairs(chunks: DataFrame, threshold: float = THRESHOLD, min_chars:
 
         def step(cols):
             keep = []
-            for i, c in enumerate(cols["class_id"]):  # copies in one task are signed once
+            for i, c in enumerate(cols["number"]):  # copies in one task are signed once
                 if c not in seen:
                     if len(seen) < 2_000_000:
                         seen.add(c)
                     keep.append(i)
             if not keep:
-                return {"class_id": [], "size": [], "sketch": [], "bands": []}
+                return {"number": [], "size": [], "sketch": [], "bands": []}
             size, sketch, bands = signer.sign([cols["text"][i] for i in keep])
-            return {"class_id": [cols["class_id"][i] for i in keep], "size": size, "sketch": sketch, "bands": list(bands)}
+            return {"number": [cols["number"][i] for i in keep], "size": size, "sketch": sketch, "bands": list(bands)}
 
         return step
 
-    signed = map_batches(classes, make, "class_id bigint, size int, sketch binary, bands array<bigint>", rows=1000)
-    banded = signed.select("class_id", "size", F.explode("bands").alias("block"))
-    at = Window.partitionBy("block").orderBy("size", "class_id")
-    whole = Window.partitionBy("block")
-    shared = (
-        banded.withColumn("rank", F.dense_rank().over(at))
-        .withColumn("n", F.max("rank").over(whole))
-        .where("n > 1")
-        .select("block", "class_id", (F.floor((F.col("rank") - 1) / tile)).cast("int").alias("tile"), F.floor((F.col("n") - 1) / tile).cast("int").alias("last"))
-    )
-    # every tile meets every other once: the pair (left, right) is a unit of work
-    placed = shared.withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).select(
-        "block", "class_id", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right")
+    signed = map_batches(classes, make, "number bigint, size int, sketch binary, bands array<bigint>", rows=1000)
+    # one exchange by block serves the counts and the rows; rows only stream past, none is ranked or gathered
+    banded = signed.select("number", F.explode("bands").alias("block")).repartition("block").distinct()
+    several = banded.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.least(F.ceil(F.col("n") / tile), F.greatest(F.lit(SPLITS), F.ceil(F.col("n") / PART))).cast("int")
+    shared = banded.join(several, "block").select("block", "number", parts.alias("parts")).withColumn("tile", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
+    # every part meets every other once: the pair (left, right) is a unit of work
+    placed = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "block", "number", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right")
     )
-    sketches = signed.select("class_id", "size", "sketch")
+    sketches = signed.groupBy("number").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     work = (
-        placed.join(sketches, "class_id")
+        placed.join(sketches, "number")
         .repartition("block", "left", "right")
-        .sortWithinPartitions("block", "left", "right", "size", "class_id")
-        .select("block", "left", "right", "tile", "class_id", "size", "sketch")
+        .sortWithinPartitions("block", "left", "right", "size", "number")
+        .select("block", "left", "right", "tile", "number", "size", "sketch")
     )
     names = ["block", "left", "right"]
     out = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64())])
@@ -247,33 +258,49 @@ def candidate_pairs(chunks: DataFrame, threshold: float = THRESHOLD, min_chars:
 
 
 def similar_classes(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(class_a, class_b, similarity) of all pairs of different texts at or above the threshold."""
-    pairs = candidate_pairs(chunks, threshold, min_chars)
-    texts = _classes(chunks, min_chars).groupBy("class_id").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("class_id").alias("class_a"), F.col("text").alias("text_a")), "class_a").join(
-        texts.select(F.col("class_id").alias("class_b"), F.col("text").alias("text_b")), "class_b"
-    )
+    """(class_a, class_b, similarity), a < b, of all pairs of different texts at or above the threshold."""
+    texts = _classes(chunks, min_chars).groupBy("class_id").agg(F.first("number").alias("number"), F.first("text").alias("text"))
+    alike = texts.groupBy("number").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y")  # different texts of one number
+    pairs = candidate_pairs(chunks, threshold, min_chars).unionByName(alike.select(F.col("number").alias("class_a"), F.col("number").alias("class_b")))
+    side = lambda n: texts.select(F.col("number").alias(f"class_{n}"), F.col("class_id").alias(f"id_{n}"), F.col("text").alias(f"text_{n}"))
+    both = pairs.join(side("a"), "class_a").join(side("b"), "class_b").where("class_a <> class_b or id_a < id_b")
 
     def make():
         def step(cols):
             out = {"class_a": [], "class_b": [], "similarity": []}
-            for a, b, x, y in zip(cols["class_a"], cols["class_b"], cols["text_a"], cols["text_b"]):
-                s = jaccard(x, y)
+            sets: dict[str, np.ndarray] = {}
+            for a, b, x, y in zip(cols["id_a"], cols["id_b"], cols["text_a"], cols["text_b"]):
+                for ident, text in ((a, x), (b, y)):
+                    if ident not in sets:
+                        sets[ident] = substring_hashes(text)
+                s = jaccard(sets[a], sets[b])
                 if s >= threshold:
-                    out["class_a"].append(a)
-                    out["class_b"].append(b)
+                    out["class_a"].append(min(a, b))
+                    out["class_b"].append(max(a, b))
                     out["similarity"].append(s)
             return out
 
         return step
 
-    return map_batches(both.select("class_a", "class_b", "text_a", "text_b"), make, "class_a bigint, class_b bigint, similarity double")
+    return map_batches(both.select("id_a", "id_b", "text_a", "text_b"), make, "class_a string, class_b string, similarity double")
 
 
 def members(chunks: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(chunk_id, class_id), each once."""
     text = F.col("normalized_content")
-    return chunks.where(F.length(text) >= min_chars).select(F.col("id").alias("chunk_id"), F.xxhash64(text).alias("class_id")).distinct()
+    return chunks.where(F.length(text) >= min_chars).select(F.col("id").alias("chunk_id"), _class_id(text).alias("class_id")).distinct()
+
+
+def equal_chunks(inside: DataFrame, copies: int = COPIES) -> DataFrame:
+    """(x, y) of equal chunks, x < y: members of a class are cut by a hash into parts of about ``copies``, and each pair of parts is joined by itself.
+
+    The result has every pair, as p5_found asks; ``groups`` is the form that does not grow with the square of a class.
+    """
+    several = inside.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id", F.ceil(F.col("n") / copies).cast("int").alias("parts"))
+    placed = inside.join(several, "class_id").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a = placed.select("class_id", F.col("part").alias("i"), F.col("other").alias("j"), F.col("chunk_id").alias("x"))
+    b = placed.select("class_id", F.col("other").alias("i"), F.col("part").alias("j"), F.col("chunk_id").alias("y"))
+    return a.join(b, ["class_id", "i", "j"]).where("x < y").select("x", "y")
 
 
 def similar_chunks(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -281,7 +308,7 @@ def similar_chunks(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: i
     inside = members(chunks, min_chars)
     a = inside.select(F.col("chunk_id").alias("x"), F.col("class_id").alias("class_a"))
     b = inside.select(F.col("chunk_id").alias("y"), F.col("class_id").alias("class_b"))
-    equal = a.join(b, a.class_a == b.class_b).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    equal = equal_chunks(inside).select("x", "y", F.lit(1.0).alias("similarity"))
     near = similar_classes(chunks, threshold, min_chars).join(a, "class_a").join(b, "class_b").select("x", "y", "similarity")
     return (
         equal.unionByName(near.where("x <> y"))

@@ -8,6 +8,7 @@ from corpusgauge.llm import languages as lang
 from corpusgauge.llm import leakage, lookalikes, markup, near_duplicates, personal, sentences, splitting, tokenization
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 ITEMS = "item_type string, item_id string, content string, headings array<string>, piece string"
 
@@ -135,7 +136,8 @@ def test_near_duplicates_against_brute_force(spark):
     df = spark.createDataFrame(rows, "id string, normalized_content string, class_id string")
     got = {(r.chunk_id_a, r.chunk_id_b) for r in near_duplicates.similar_chunks(df).collect()}
     kept = [(f"c{i:03d}", t) for i, t in enumerate(texts) if t and len(t) >= 150]
-    want = {(a, b) for i, (a, x) in enumerate(kept) for b, y in kept[i + 1 :] if near_duplicates.jaccard(x, y) >= 0.7}
+    parts = {a: {x[k : k + 9] for k in range(len(x) - 8)} for a, x in kept}
+    want = {(a, b) for i, (a, _) in enumerate(kept) for b, _ in kept[i + 1 :] if len(parts[a] & parts[b]) >= 0.7 * len(parts[a] | parts[b])}
     assert got == want and len(want) > 40
     assert near_duplicates.similar_chunks(df.limit(0)).count() == 0
 
@@ -165,6 +167,19 @@ def test_tiles_meet_every_pair(spark):
     assert near_duplicates.candidate_pairs(df, tile=7).count() == 40 * 39 // 2
 
 
+def test_texts_of_one_number_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "_number", lambda text: F.lit(7).cast("bigint"))
+    base = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([("a", base), ("b", base + " more"), ("c", "other " * 40 + "text"), ("d", base)], "id string, normalized_content string")
+    assert {(r.chunk_id_a, r.chunk_id_b) for r in near_duplicates.similar_chunks(df).collect()} == {("a", "b"), ("a", "d"), ("b", "d")}
+
+
+def test_copies_are_paired_in_parts(spark):
+    rows = [(f"c{i:02d}", "hot" if i < 20 else f"lone{i}") for i in range(25)]
+    got = near_duplicates.equal_chunks(spark.createDataFrame(rows, "chunk_id string, class_id string"), copies=3).collect()
+    assert len(got) == len(set(got)) == 190 and {r.x for r in got} | {r.y for r in got} == {f"c{i:02d}" for i in range(20)}
+
+
 # 6 markup
 
 
