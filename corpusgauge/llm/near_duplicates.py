@@ -208,10 +208,12 @@ def candidate_pairs(chunks: DataFrame, threshold: float = THRESHOLD, min_chars:
 
     signed = map_batches(classes, make, "number bigint, size int, sketch binary, bands array<bigint>", rows=1000)
     # one exchange by block serves the counts and the rows; rows only stream past, none is ranked or gathered
-    banded = signed.select("number", F.explode("bands").alias("block")).repartition("block").distinct()
-    several = banded.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    # (stated not-null tests keep the two uses alike; else the planner infers one more for the join and the exchange is made twice)
+    banded = signed.select("number", F.explode("bands").alias("block")).where("number is not null and block is not null").repartition("block")
+    several = banded.groupBy("block").agg(F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high")).where("low < high").select("block", "n")
     parts = F.least(F.ceil(F.col("n") / tile), F.greatest(F.lit(SPLITS), F.ceil(F.col("n") / PART))).cast("int")
-    shared = banded.join(several, "block").select("block", "number", parts.alias("parts")).withColumn("tile", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
+    met = banded.join(several.hint("shuffle_hash"), "block").select("block", "number", parts.alias("parts")).distinct()  # copies signed in several tasks
+    shared = met.withColumn("tile", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
     # every part meets every other once: the pair (left, right) is a unit of work
     placed = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "block", "number", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right")
@@ -259,10 +261,11 @@ def candidate_pairs(chunks: DataFrame, threshold: float = THRESHOLD, min_chars:
 
 def similar_classes(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(class_a, class_b, similarity), a < b, of all pairs of different texts at or above the threshold."""
-    texts = _classes(chunks, min_chars).groupBy("class_id").agg(F.first("number").alias("number"), F.first("text").alias("text"))
-    alike = texts.groupBy("number").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y")  # different texts of one number
-    pairs = candidate_pairs(chunks, threshold, min_chars).unionByName(alike.select(F.col("number").alias("class_a"), F.col("number").alias("class_b")))
-    side = lambda n: texts.select(F.col("number").alias(f"class_{n}"), F.col("class_id").alias(f"id_{n}"), F.col("text").alias(f"text_{n}"))
+    # the texts of a number: one, but for chance agreements; gathered by number, they meet the pairs without another exchange
+    texts = _classes(chunks, min_chars).groupBy("number").agg(F.collect_set(F.struct("class_id", "text")).alias("t"))
+    alike = texts.where("size(t) > 1").select(F.col("number").alias("class_a"), F.col("number").alias("class_b"))
+    pairs = candidate_pairs(chunks, threshold, min_chars).unionByName(alike)
+    side = lambda n: texts.select(F.col("number").alias(f"class_{n}"), F.explode("t").alias("t")).select(f"class_{n}", F.col("t.class_id").alias(f"id_{n}"), F.col("t.text").alias(f"text_{n}"))
     both = pairs.join(side("a"), "class_a").join(side("b"), "class_b").where("class_a <> class_b or id_a < id_b")
 
     def make():
