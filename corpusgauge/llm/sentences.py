@@ -3,13 +3,17 @@
 Document-centred disambiguation. A full stop after a word is ambiguous; whether the
 word is an abbreviation, and whether a capitalised word after it is a proper name or a
 sentence start, is decided first from unambiguous occurrences elsewhere in the same
-document (the word with a full stop and a small letter, digit or comma behind it;
-the next word written small). Where the document says nothing, counts over the
-whole corpus decide, and for collections too small to count, a short list of known
-abbreviations. Terminators are script-specific: ideographic stops need no space,
+document (the word with a full stop and a small letter, digit or comma behind it; the
+next word written small). Where the document says nothing, counts over the whole corpus
+decide: how often the word has a full stop and how often that ends nothing; which words are
+mostly written small, and which begin sentences. Short lists of known abbreviations speak
+only where both are silent: the document has the word nowhere without a full stop, and the corpus
+has it hardly ever (under ``COUNTED`` times in all) or always with a full stop before capitals, as titles are,
+which counts cannot tell from the last words of sentences. Terminators are script-specific: ideographic stops need no space,
 the danda and the Arabic question mark end units, Thai units end at a space between
 Thai letters. Quotations and brackets are paired within the paragraph; a stop inside
-them ends a unit only if the pair itself is at its end.
+them ends a unit only if the pair itself is at its end, however long the pair. Time is
+linear in the length of a text.
 
 A blank line ends a unit; a list line with its mark is one unit; other line breaks
 (LF, CR LF, CR) end nothing. Null, empty and blank texts have no units. Repeated
@@ -22,19 +26,29 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
 
-# Abbreviations assumed before anything is counted.
+COUNTED = 20  # uses in the corpus from which its counts replace the lists
+STARTER_SHARE = 0.002  # of all capitals after full stops; so there are at most 500 starters
+RARE_SHARE = 1e-6  # words rarer than this among all counted words are left out, so a lexicon has at most a million words
+
+# Abbreviations assumed before anything is counted, and words that then tell a sentence start.
 TITLES = frozenset("mr mrs ms dr prof st sr sra srta dott sig hr fr mme mlle m d ing av sayın lic د डॉ श\u094dरी".split())
 BEFORE_NUMBER = frozenset("no nr fig figs sec sect p pp pag pág abs art vol ch kap s bd zif ziff núm num n cap ex eq tab".split())
 COMMON = frozenset(
     "i.e e.g cf vs approx ca gem lt bzw bkz örn cfr v resp evtl ggf inkl vgl z.b d.h u.a ad es p.ex ej bsp dept est al max min".split()
 )
 CAN_END = frozenset("etc usw ecc vb vs inc ltd co corp u.s u.k e.u a.m p.m ff jr dgl vd plc gmbh bros".split())
+STARTERS = frozenset("the a an he she it we they this that these those in on at for if when then there but and so der die das ein eine es er sie wir le la les un une il elle el los las bu bir".split())
+BEFORE_NAMES = TITLES | BEFORE_NUMBER | COMMON
 GERMAN_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 
 PARAGRAPH = re.compile(r"(?:\r\n|[\n\r\x85\u2028])[ \t\u00a0\u3000]*(?:(?:\r\n|[\n\r\x85\u2028])[ \t\u00a0\u3000]*)+|\u2029")
@@ -50,48 +64,112 @@ IDEOGRAPHIC = "。！？｡．"
 WORD_BEFORE = re.compile(r"(?:[^\W\d_](?:\.[^\W\d_])+|[^\W\d_][\u0300-\u036f\u0900-ः\u093a-ॏـ\w'’]*)$")
 NUMBER_BEFORE = re.compile(r"\d$")
 UNIT_BEFORE = re.compile(r"\d[ \u00a0\u202f]?[^\W\d_]{1,3}$")
-WORD_AT = re.compile(r"[^\W\d_][\w'’]*")
+WORD_AT = re.compile(r"[^\W\d_][\w'’\u0300-\u036f]*")
 BARE = re.compile(r"[\W_]*([^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5}(?:\.[^\W\d_])*)(\.?)[\W_]*")
 ENDS_NOTHING = re.compile(r"\.(?=[,;:]|[ \u00a0](?:[a-zà-öø-ÿğışçöü]|\d))")
 BEFORE_STOP = re.compile(r"(?<![\w.])(?:[^\W\d_]\.)*[^\W\d_](?:[^\W\d_]|[\u0900-ः\u093a-ॏ]){0,5}$")
 SAID = re.compile(r"^[^。！？\n]{0,24}?(?:说|說|道|问|問|喊|答|表示|写道)[^。！？]{0,3}[。！？]")
 THAI = "ก-\u0e3aเ-\u0e4e"
 THAI_GAP = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
-MAX_PAIR = 600
-
-
-def _pairs(text: str) -> list[tuple[int, int, str]]:
-    """Matched quotation marks and brackets as (open, close, opening mark)."""
-    out, stack = [], []
-    for m in PAIRED.finditer(text):
-        c, at = m.group(), m.start()
-        if c == '"':
-            if stack and stack[-1][0] == '"':
-                out.append((stack.pop()[1], at, c))
-            else:
+CAPITAL_AFTER = re.compile(r"([^\W\d_]{1,8})\.[\"'”’»)\]]*[ \u00a0\r\n]+([^\W\d_a-zà-öø-ÿ][\w'’]*)")
+BLANK = re.compile(r"\s*")
+WRITTEN = re.compile(r"(?<![\w'’.&/@_\u0300-\u036f-])[^\W\d_][\w'’\u0300-\u036f]*(?P<stop>\.)?")
+
+
+class Pairs:
+    """Matched quotation marks and brackets of a paragraph as (open, close, opening mark), nested or apart."""
+
+    def __init__(self, text: str):
+        found: list[tuple[int, int, str]] = []
+        stack: list[tuple[str, int]] = []
+        waiting: dict[str, list[int]] = {}  # closing mark -> places in the stack of what it closes
+        for m in PAIRED.finditer(text):
+            c, at = m.group(), m.start()
+            if c == '"':
+                if stack and stack[-1][0] == '"':
+                    found.append((stack.pop()[1], at, c))
+                else:
+                    stack.append((c, at))
+                continue
+            places = waiting.get(c, [])
+            while places and (places[-1] >= len(stack) or c not in OPEN.get(stack[places[-1]][0], "")):
+                places.pop()  # dropped with a pair around it
+            if places:
+                top = places.pop()
+                found.append((stack[top][1], at, stack[top][0]))
+                del stack[top:]
+            elif c in OPEN and c != "»":
+                for closer in OPEN[c]:
+                    waiting.setdefault(closer, []).append(len(stack))
                 stack.append((c, at))
-            continue
-        top = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 40), -1) if stack[k][0] != '"' and c in OPEN[stack[k][0]]), None)
-        if top is not None:
-            out.append((stack[top][1], at, stack[top][0]))
-            del stack[top:]
-        elif c in OPEN and c != "»":
-            stack.append((c, at))
-    return sorted(p for p in out if p[1] - p[0] <= MAX_PAIR)
-
-
-def _opens(pairs: list[tuple[int, int, str]], at: int) -> bool:
-    k = bisect_left(pairs, (at,))
-    return k < len(pairs) and pairs[k][0] == at
+        self.all = sorted(found)
+        self.starts = [p[0] for p in self.all]
+        self.outer: list[int] = []
+        around: list[int] = []
+        for k, p in enumerate(self.all):
+            while around and self.all[around[-1]][1] < p[0]:
+                around.pop()
+            self.outer.append(around[-1] if around else -1)
+            around.append(k)
+
+    def __bool__(self) -> bool:
+        return bool(self.all)
+
+    def opens(self, at: int) -> bool:
+        k = bisect_left(self.starts, at)
+        return k < len(self.starts) and self.starts[k] == at
+
+    def around(self, at: int) -> Iterator[tuple[int, int, str]]:
+        """Pairs that begin before ``at``, from the nearest outwards; those already closed come too."""
+        k = bisect_left(self.starts, at) - 1
+        while k >= 0:
+            yield self.all[k]
+            k = self.outer[k]
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What the corpus says of words: see ``corpus_words``."""
+
+    abbreviations: frozenset[str] = frozenset()
+    plain: frozenset[str] = frozenset()
+    small: frozenset[str] = frozenset()
+    starters: frozenset[str] = STARTERS
+
+
+class Evidence:
+    """Unambiguous uses of words in one document, indexed once when first asked."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def inside(self) -> set[str]:
+        """Words with a full stop that ends nothing."""
+        found = (BEFORE_STOP.search(self.text, max(0, m.start() - 12), m.start()) for m in ENDS_NOTHING.finditer(self.text))
+        return {unicodedata.normalize("NFC", w.group()) for w in found if w}
+
+    @cached_property
+    def written(self) -> tuple[set[str], set[str]]:
+        """Words written small, and words without a full stop."""
+        small, plain = set(), set()
+        for m in WRITTEN.finditer(self.text):
+            word = unicodedata.normalize("NFC", m.group()[:-1] if m.group("stop") else m.group())
+            if word[0].islower():
+                small.add(word)
+                small.update(word[:k] for k, c in enumerate(word) if c in "'’")
+            if not m.group("stop"):
+                plain.add(word)
+        return small, plain
 
 
 class Splitter:
-    def __init__(self, abbreviations: frozenset[str] = frozenset(), small_words: frozenset[str] = frozenset()):
-        self.abbreviations, self.small_words = abbreviations, small_words
+    def __init__(self, lexicon: Lexicon = Lexicon()):
+        self.lexicon = lexicon
 
     def units(self, text: str) -> list[int]:
         """Ends of the sentence units of a text, in order."""
-        facts: list = []
+        facts = Evidence(text)
         out: list[int] = []
         at = 0
         for m in PARAGRAPH.finditer(text):
@@ -100,7 +178,7 @@ class Splitter:
         self._paragraph(text, at, len(text), facts, out)
         return out
 
-    def _paragraph(self, text: str, a: int, b: int, facts: list, out: list[int]) -> None:
+    def _paragraph(self, text: str, a: int, b: int, facts: Evidence, out: list[int]) -> None:
         if b <= a:
             return
         para = text[a:b]
@@ -134,8 +212,8 @@ class Splitter:
         else:
             self._block(text, piece, a + start, facts, out)
 
-    def _block(self, text: str, para: str, a: int, facts: list, out: list[int]) -> None:
-        pairs = _pairs(para) if PAIRED.search(para) else []
+    def _block(self, text: str, para: str, a: int, facts: Evidence, out: list[int]) -> None:
+        pairs = Pairs(para) if PAIRED.search(para) else None
         ends: list[int] = []
         begin = 0
         body = len(para.rstrip())
@@ -149,7 +227,7 @@ class Splitter:
                 begin = cut
         ends.append(body)
         if "\u0e00" <= max(para) and re.search(f"[{THAI}]", para):
-            inside = lambda k: any(o < k < c for o, c, _ in pairs)
+            inside = lambda k: bool(pairs) and any(k < c for _, c, _ in pairs.around(k))
             ends = sorted({*ends, *(m.start() for m in THAI_GAP.finditer(para) if not inside(m.start()))})
         out.extend(a + e for e in ends)
 
@@ -158,17 +236,13 @@ class Splitter:
         stop = para[i:j]
         opened = None
         if pairs:
-            # no pair is longer than MAX_PAIR, so only the last ones opened can hold the stop
-            near = pairs[bisect_left(pairs, (i - MAX_PAIR - 1,)) : bisect_left(pairs, (i,))]
-            around = [p for p in near if j <= p[1]]
-            while around:
-                inner = max(around)
-                if para[j : inner[1]].strip():
-                    return None
-                j = inner[1] + 1
-                opened = inner
-                around = [p for p in near if p[0] < inner[0] and j <= p[1]]
-        while j < len(para) and para[j] in CLOSERS and not _opens(pairs, j):
+            for inner in pairs.around(i):
+                if j <= inner[1]:
+                    if BLANK.match(para, j, inner[1]).end() < inner[1]:
+                        return None
+                    j = inner[1] + 1
+                    opened = inner
+        while j < len(para) and para[j] in CLOSERS and not (pairs and pairs.opens(j)):
             j += 1
         ideographic = stop[-1] in IDEOGRAPHIC
         spaced = para[j].isspace() if j < len(para) else True
@@ -202,7 +276,7 @@ class Splitter:
             return None
         if stop[-1] in "!?":
             return j
-        return j if self._full_stop(text, para, i, k, facts) else None
+        return j if self._full_stop(para, i, k, facts) else None
 
     @staticmethod
     def _next(para: str, j: int) -> int:
@@ -210,31 +284,22 @@ class Splitter:
             j += 1
         return j
 
-    @staticmethod
-    def _ends_nothing(text: str, word: str, facts: list) -> bool:
-        """Whether the word stands elsewhere in this document with a stop and a small letter, digit or comma after it."""
-        known = facts[0].get(word) if facts else None
-        if known is None:
-            if not facts:
-                facts.extend(({}, {}))
-            known, at = False, text.find(word + ".")
-            while at >= 0 and not known:
-                end = at + len(word) + 1
-                known = not (at and (text[at - 1].isalnum() or text[at - 1] in "._")) and bool(ENDS_NOTHING.match(text, end - 1))
-                at = text.find(word + ".", end)
-            facts[0][word] = known
-        return known
-
-    def _written_small(self, text: str, facts: list, word: str) -> bool:
-        """Whether a word that stands capitalised here is written small in this document, else in the corpus."""
-        if not facts:
-            facts.extend(({}, {}))
-        known = facts[1].get(word)
-        if known is None:
-            known = facts[1][word] = bool(re.search(rf"(?<![\w'’.]){re.escape(word)}(?!\w)", text)) or word in self.small_words
-        return known
-
-    def _full_stop(self, text: str, para: str, i: int, k: int, facts: list) -> bool:
+    def _kind(self, word: str, low: str, digit: bool, facts: Evidence) -> str | None:
+        """``title`` (names follow), ``abbreviation``, or None: the document's evidence, then the corpus, then the lists."""
+        title = low in TITLES and (word[0].isupper() or low in ("dott", "sayın", "d") or not low.isascii())
+        if len(low) <= 7 and (word in facts.inside or low in self.lexicon.abbreviations):
+            return "title" if title else "abbreviation"
+        if low in self.lexicon.plain or word in facts.written[1] and len(word) > 1:
+            return None
+        if "." in low:
+            return "abbreviation" if low not in CAN_END or low in ("u.s", "u.k", "e.u") else None
+        if title or len(word) == 1 and word.isupper():
+            return "title"
+        if len(word) == 1:
+            return None if "\u0e00" <= word <= "\u0e7f" else "abbreviation"
+        return "abbreviation" if low in COMMON or digit and low in BEFORE_NUMBER else None
+
+    def _full_stop(self, para: str, i: int, k: int, facts: Evidence) -> bool:
         before = para[max(0, i - 40) : i]
         after = para[k]
         next_word = m.group() if (m := WORD_AT.match(para, k)) else ""
@@ -244,46 +309,42 @@ class Splitter:
         if not m:
             return True
         word = re.split("['’]", unicodedata.normalize("NFC", m.group()))[-1] or m.group()
-        low = word.lower()
-        if UNIT_BEFORE.search(before) and not (after.isdigit() and low in BEFORE_NUMBER) and low not in CAN_END:
+        kind = self._kind(word, word.lower(), after.isdigit(), facts)
+        if kind is None or UNIT_BEFORE.search(before) and not after.isdigit():
             return True
-        single = len(word) == 1
-        known = (
-            low in TITLES or low in BEFORE_NUMBER and after.isdigit() or low in COMMON or low in CAN_END
-            or "." in low or single and not "\u0e00" <= word <= "\u0e7f"
-        )
-        if not known and len(low) <= 7:
-            known = low in self.abbreviations or self._ends_nothing(text, word, facts)
-        if not known:
-            return True
-        if after.isdigit():
-            return low in CAN_END and low not in COMMON and low != "vs"
-        if low in TITLES and (word[0].isupper() or low in ("dott", "sayın", "d")) or single and word.isupper():
+        if after.isdigit() or not next_word[:1].isupper():
             return False
-        if low in CAN_END and low not in ("u.s", "u.k", "e.u"):
-            return True
-        return bool(next_word) and next_word[0].isupper() and self._written_small(text, facts, next_word.lower())
+        follows = unicodedata.normalize("NFC", next_word).lower()
+        if kind == "title":
+            return follows in self.lexicon.starters
+        return follows in facts.written[0] or follows in self.lexicon.small or follows in self.lexicon.starters
 
 
-def corpus_words(texts: DataFrame, min_count: int = 5, share: float = 0.95) -> tuple[frozenset[str], frozenset[str]]:
-    """Corpus fallback: abbreviations (short words nearly always with a full stop that
-    mostly ends nothing) and words mostly written small.
+def corpus_words(texts: DataFrame, min_count: int = 5, share: float = 0.95) -> Lexicon:
+    """What the whole corpus says of words of at most six letters.
 
-    Counted in every partition before one shuffle of distinct short words. What reaches
-    the driver is a lexicon of words of at most six letters that pass the thresholds.
+    * abbreviations: nearly always with a full stop, which mostly ends nothing;
+    * plain: listed words the corpus has at least ``COUNTED`` times and often without a full stop;
+    * small: words mostly written small;
+    * starters: the commonest capitalised words after full stops, those after initials, titles and other listed abbreviations aside.
+
+    Counted in every partition before one shuffle. What reaches the driver is bounded by
+    ``RARE_SHARE`` and ``STARTER_SHARE``, whatever the corpus.
     """
-    names = ("word", "dotted", "plain", "inside", "small")
+    names = ("word", "starts", "dotted", "plain", "inside", "small")
 
     def make():
         def step(cols):
             counts: Counter = Counter()
             inside: Counter = Counter()
+            starts: Counter = Counter()
             for text in cols["text"]:
                 if text:
                     counts.update(text.split())
                     for m in ENDS_NOTHING.finditer(text):
                         if w := BEFORE_STOP.search(text, max(0, m.start() - 12), m.start()):
                             inside[w.group().lower()] += 1
+                    starts.update(CAPITAL_AFTER.findall(text))
             rows: dict[str, list[int]] = {}
             for token, n in counts.items():
                 if len(token) <= 24 and (m := BARE.fullmatch(token)):
@@ -293,29 +354,40 @@ def corpus_words(texts: DataFrame, min_count: int = 5, share: float = 0.95) -> t
                     row[3] += n if bare.islower() else 0
             for token, n in inside.items():
                 rows.setdefault(token, [0, 0, 0, 0])[2] += n
-            return dict(zip(names, (list(rows), *map(list, zip(*rows.values()))))) if rows else {n: [] for n in names}
+            first: Counter = Counter()
+            for (before, word), n in starts.items():
+                if word[0].isupper() and len(before) > 1 and before.lower() not in BEFORE_NAMES:
+                    first[word.lower()] += n
+            out = [(w, 0, *r) for w, r in rows.items()] + [(w, n, 0, 0, 0, 0) for w, n in first.items()]
+            return dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}
 
         return step
 
-    schema = "word string, dotted bigint, plain bigint, inside bigint, small bigint"
+    schema = "word string, starts bigint, dotted bigint, plain bigint, inside bigint, small bigint"
     counted = map_batches(texts.select("text").where("text is not null"), make, schema, rows=10_000)
-    total = counted.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
-    is_abbreviation = (
-        (F.col("dotted") >= share * (F.col("dotted") + F.col("plain")))
-        & (F.col("inside") >= 0.3 * F.col("dotted"))
-        & (F.col("dotted") >= min_count)
-    )
-    mostly_small = (F.col("small") >= 0.5 * (F.col("dotted") + F.col("plain"))) & (F.col("plain") >= min_count)
-    kept = total.where(is_abbreviation | mostly_small).select("word", is_abbreviation.alias("abbreviation"), mostly_small.alias("small")).collect()
-    return frozenset(r.word for r in kept if r.abbreviation), frozenset(r.word for r in kept if r.small)
-
-
-def sentence_units(documents: DataFrame, fallback: tuple[frozenset[str], frozenset[str]] | None = None) -> DataFrame:
-    """(doc_id, sent_end, unit) of every unit; ``fallback`` overrides the corpus counts."""
-    words = fallback if fallback is not None else corpus_words(documents)
+    total = counted.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:])).persist(StorageLevel.DISK_ONLY)
+    try:
+        uses = F.col("dotted") + F.col("plain")
+        all_uses, all_starts = (n or 0 for n in total.agg(F.sum(uses), F.sum("starts")).first())
+        enough = max(min_count, RARE_SHARE * all_uses)
+        abbreviation = (F.col("dotted") >= share * uses) & (F.col("dotted") >= enough) & (F.col("inside") >= 0.3 * F.col("dotted"))
+        small = (F.col("small") >= 0.5 * uses) & (F.col("plain") >= enough)
+        plain = F.col("word").isin(*sorted(TITLES | BEFORE_NUMBER | COMMON | CAN_END)) & (uses >= COUNTED) & (F.col("dotted") < share * uses)
+        starter = F.col("starts") >= max(min_count, STARTER_SHARE * all_starts)
+        kept = total.where(abbreviation | small | plain | starter).select("word", abbreviation.alias("abbreviation"), plain.alias("plain"), small.alias("small"), starter.alias("starter")).collect()
+    finally:
+        total.unpersist()
+    pick = lambda name: frozenset(r.word for r in kept if r[name])
+    return Lexicon(pick("abbreviation"), pick("plain"), pick("small"), pick("starter") or STARTERS)
+
+
+def sentence_units(documents: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """(doc_id, sent_end, unit) of every unit; ``lexicon`` overrides the corpus counts."""
+    words = lexicon if lexicon is not None else corpus_words(documents)
+    spread = documents.sparkSession.sparkContext.broadcast(words)
 
     def make():
-        splitter = Splitter(*words)
+        splitter = Splitter(spread.value)
 
         def step(cols):
             ids, ends, numbers = [], [], []

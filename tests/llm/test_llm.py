@@ -363,3 +363,32 @@ def test_leak_search_equals_an_exact_search_over_all_items():
         shingles = leakage._shingles(np.array(hashes, dtype=np.uint64)).tolist()
         want |= {(row, index.ids[i][0]) for i in range(len(index.words)) if index.verify(hashes, shingles, i)}
     assert want and len(got & want) >= 0.98 * len(want) and got <= want
+
+
+def test_document_evidence_outweighs_the_lists():
+    def units(text, **lexicon):
+        ends = sentences.Splitter(sentences.Lexicon(**lexicon)).units(text)
+        return [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+
+    assert units("We saw Main St. The shop closed.") == ["We saw Main St.", "The shop closed."]
+    assert units("They use max. Then they rest.") == ["They use max.", "Then they rest."]
+    # an unlisted abbreviation: known from the document, or else from the corpus; a listed one the corpus has without a stop
+    assert units("See qnt. 4 first. The qnt. Falcon ran.") == ["See qnt. 4 first.", "The qnt. Falcon ran."]
+    assert units("The qnt. Falcon ran.") == ["The qnt.", "Falcon ran."]
+    assert units("The qnt. Falcon ran.", abbreviations=frozenset({"qnt"})) == ["The qnt. Falcon ran."]
+    assert units("It grew approx. Falcon ran.") == ["It grew approx. Falcon ran."]
+    assert units("It grew approx. Falcon ran.", plain=frozenset({"approx"})) == ["It grew approx.", "Falcon ran."]
+
+
+def test_long_pairs_and_long_texts():
+    inside = "He said it again and again. " * 60
+    text = f"It began (as noted: {inside}and so on) and went on. Then it ended."
+    ends = sentences.Splitter().units(text)
+    assert len(ends) == 2 and text[: ends[0]].endswith("went on.")
+    deep = "".join("([{"[i % 2] for i in range(200)) + "x. Y" + "".join(")]"[i % 2] for i in range(199, -1, -1)) + " end. Next."
+    assert len(sentences.Splitter().units(deep)) == 2
+    import time
+
+    begun = time.time()
+    sentences.Splitter().units("Mr. Brown saw abc. Next one etc. Another " * 10_000 + '"' + "In it. Out. " * 20_000 + '"')
+    assert time.time() - begun < 6
