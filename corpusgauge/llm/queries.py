@@ -53,7 +53,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:
-    return languages.document_languages(table(spark, d, "scan_documents"), _language_model(spark, d)).drop("label_code").distinct()
+    return languages.document_languages(table(spark, d, "scan_documents"), _language_model(spark, d)).drop("label_code", "fits").distinct()
 
 
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:

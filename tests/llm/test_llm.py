@@ -109,6 +109,29 @@ def test_languages(spark):
 
 def test_labels():
     assert [lang.language_code(x) for x in ("EN", "en_GB", "zh-Hans", "German", "deu", "und", "", None, "xx")] == ["en", "en", "zh", "de", "de", None, None, None, None]
+    assert [lang.language_code(x) for x in ("pt-BR", "Russian", "nl", "KO", "n/a", "unknown")] == ["pt", "ru", "nl", "ko", None, None]
+
+
+VOCABULARY = {
+    "en": "the house was built by people who live there with their children and every morning they walk through town before work",
+    "es": "la casa fue construida por las personas que viven allí con sus hijos y cada mañana caminan por el pueblo antes del trabajo",
+    "nl": "het huis werd gebouwd door mensen die daar wonen met hun kinderen en elke ochtend lopen zij door de stad voor het werk begint",
+}
+PORTUGUESE = "não há então questões sobre as reuniões porque os cidadãos já têm informações à disposição nas eleições e também às vezes não vêm"
+
+
+def test_languages_are_those_of_the_labelled_rows(spark):
+    rng = random.Random(2)
+    speak = lambda words, n=40: " ".join(rng.choices(words.split(), k=n)).capitalize() + "."
+    labelled = [(f"{c}{i}", speak(v), c) for c, v in VOCABULARY.items() for i in range(80)] + [("none", None, "en"), ("nolabel", speak(VOCABULARY["en"]), None)]
+    model = lang.fit(spark.createDataFrame(labelled, "k string, t string, l string"), "k", "t", "l")
+    assert model.languages == ["en", "es", "nl"] and set(model.usual) == set(model.languages)
+    rows = [
+        ("dutch", "en", speak(VOCABULARY["nl"], 120)), ("right", "nl", speak(VOCABULARY["nl"], 120)), ("portuguese", "pt", speak(PORTUGUESE, 120)),
+        ("wrong", "pt", speak(VOCABULARY["en"], 120)), ("greek", "el", "Το σπίτι χτίστηκε από ανθρώπους που ζουν εκεί. " * 5),
+    ]
+    got = {tuple(r) for r in lang.mislabelled(spark.createDataFrame(rows, "id string, language string, content string"), model).collect()}
+    assert got == {("dutch", "nl"), ("wrong", "en")}
 
 
 def test_no_labelled_rows(spark):
