@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,15 +79,15 @@ UNDERLINE = re.compile(r"^(=+|-{2,})[ \t\r]*$", re.M)  # looked at backwards: a
 NO_TITLE = re.compile(r"[ \t]*(?:[-*+>|#]|\d+[.)])[ \t]|[\s=-]*$")
 MD_LIST = re.compile(r"^[ \t]*([-+*]|\d{1,4}[.)])[ \t]+(\[[ xX]\][ \t]+)?(\S[^\n]*)$", re.M)
 MD_TABLE = re.compile(r"^[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t\r]*$(?:\n[^\n]*\|[^\n]*)*", re.M)
-MD_CODE = re.compile(r"(?<![A-Za-z`])(`+)(?!`)([^\n]+?)(?<!`)\1(?![A-Za-z`])")
+TICKS = re.compile(r"`+|\n")
 MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:<[^>\n]*>|[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:[ \t]+\"[^\"\n]*\")?\)|\[\^[^\]\s]+\]|<https?://[^>\s]+>")
-MD_STRONG = re.compile(r"\*\*(?=\S)([^\n]+?)(?<=\S)\*\*|(?<!\w)__(?=\S)([^\n_]+?)(?<=\S)__(?!\w)")
+MD_STRONG = re.compile(r"(?<!\w)__(?=\S)([^\n_]+?)(?<=\S)__(?!\w)")
 MD_EMPHASIS = re.compile(r"(?<![*\\\w])\*(?![\s*])([^\n*]+?)(?<![\s*])\*(?![*\w])|(?<=[^\x00-\x7f])\*(?![\s*])([^\n*]+?)(?<![\s*])\*(?!\*)|(?<![*\\])\*(?![\s*])([^\n*]+?)(?<![\s*])\*(?=-|[^\x00-\x7f])")
 MD_UNDER = re.compile(r"(?<![\w\\])_(?![\s_])([^\n_]+?)(?<![\s_])_(?!\w)")
-MD_STRIKE = re.compile(r"~~(?=\S)([^\n~]+?)(?<=\S)~~")
 MD_QUOTE = re.compile(r"^>[ \t]", re.M)
 DISPLAY = re.compile(r"\$\$(.+?)\$\$", re.S)
-DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$\d]|[A-Z]{2,}\b)([^$\n]{1,200}?)(?<![\s\\])\$(?![\w$])|(?<![\\$\w])\$(\d[^$\n]{0,200}?[\\^_=+][^$\n]{0,200}?)(?<![\s\\])\$(?![\w$])")
+DOLLAR = re.compile(r"\$")
+FORMULA_BODY = re.compile(r"(?![\s\d]|[A-Z]{2,}\b).+|\d.*[\\^_=+].*")
 TEX_DISPLAY = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
 TEX_FORMULA = re.compile(rf"\\begin\{{({_alt(LATEX_FORMULAS.split())})\}}(.*?)\\end\{{\1\}}", re.S)
 TEX_HEADING = re.compile(r"\\((?:sub){0,2}section|(?:sub)?paragraph|chapter|part)\*?(?:\[[^\]]*\])?\{([^{}\n]*)\}")
@@ -106,6 +108,82 @@ def underlined(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def code_spans(text: str) -> list[tuple[int, int, str]]:
+    """Backtick spans within a line as (start, end, inside): a run of backticks to the next run as long, in linear time."""
+    out: list[tuple[int, int, str]] = []
+    line: list[tuple[int, int]] = []
+
+    def close() -> None:
+        ends: dict[int, list[int]] = defaultdict(list)  # length -> places of runs that may close, last first
+        for k in range(len(line) - 1, -1, -1):
+            a, b = line[k]
+            if not (text[b : b + 1].isascii() and text[b : b + 1].isalpha()):
+                ends[b - a].append(k)
+        done = -1
+        for k, (a, b) in enumerate(line):
+            before = text[a - 1 : a]
+            if k <= done or before.isascii() and before.isalpha():
+                continue
+            places = ends[b - a]
+            while places and places[-1] <= k:
+                places.pop()
+            if places:
+                done = places[-1]
+                out.append((a, line[done][1], text[b : line[done][0]]))
+        line.clear()
+
+    for m in TICKS.finditer(text):
+        if text[m.start()] == "\n":
+            if line:
+                close()
+        else:
+            line.append(m.span())
+    close()
+    return out
+
+
+def doubled_spans(text: str, mark: str) -> list[tuple[int, int, str]]:
+    """Spans between doubled signs such as ``**`` within a line, as (start, end, inside), in linear time."""
+    sign = re.escape(mark)
+    closing = [m.start() for m in re.finditer(rf"(?<=\S)(?={sign})", text)]
+    out, at = [], 0
+    for m in re.finditer(rf"{sign}(?=\S)", text):
+        if m.start() < at:
+            continue
+        k = bisect_left(closing, m.end() + 1)
+        if k < len(closing) and (text.find("\n", m.end(), closing[k]) < 0):
+            at = closing[k] + len(mark)
+            out.append((m.start(), at, text[m.end() : closing[k]]))
+    return out
+
+
+def dollar_spans(text: str) -> list[tuple[int, int, str]]:
+    """Formulas of any length between two neighbouring dollar signs of a line, as (start, end, body)."""
+    out, at = [], [m.start() for m in DOLLAR.finditer(text)]
+    k = 0
+    while k + 1 < len(at):
+        a, b = at[k], at[k + 1]
+        k += 1
+        before, after = text[a - 1 : a], text[b + 1 : b + 2]
+        if before and (before in "\\$" or before == "_" or before.isalnum()) or after and (after in "$_" or after.isalnum()):
+            continue
+        if b == a + 1 or text[b - 1].isspace() or text[b - 1] == "\\" or text.find("\n", a, b) >= 0:
+            continue
+        body = text[a + 1 : b]
+        if FORMULA_BODY.fullmatch(body):
+            out.append((a, b + 1, body))
+            k += 1
+    return out
+
+
+def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for a, b, inside in spans:
+        parts += [text[at:a], inside]
+        at = b
+    return "".join((*parts, text[at:]))
+
+
 class Reading:
     """Marks of one text: {(kind, element): [(start, end)]}."""
 
@@ -136,10 +214,20 @@ class Reading:
         for m in pattern.finditer(self.rest):
             self._add(kind, element, m.start(), m.end())
 
+    def _spans(self, spans: list[tuple[int, int, str]], kind: str, element: str) -> None:
+        for a, b, _ in spans:
+            self._add(kind, element, a, b)
+
+    def _until(self, *closing: str) -> int:
+        """Where the last closing mark ends: what opens after it has no end, and need not be tried."""
+        low = self.rest.lower()
+        return max(low.rfind(c) for c in closing) + 12
+
     def _unambiguous(self) -> None:
         rest = self.rest
         if "<" in rest:
-            self._each(SCRIPT, "html", "inline")
+            for m in SCRIPT.finditer(rest, 0, self._until("</script", "</style")):
+                self._add("html", "inline", m.start(), m.end())
             self._each(COMMENT, "html", "inline")
             for m in TAG.finditer(rest):
                 name = m.group(1).lower()
@@ -150,7 +238,7 @@ class Reading:
                 else:
                     element = "heading" if name[0] == "h" and name[1:].isdigit() else "list" if name in HTML_LIST else "table" if name in HTML_TABLE else "inline"
                     self._add("html", element, m.start(), m.end())
-            for m in MATH_TAG.finditer(rest):
+            for m in MATH_TAG.finditer(rest, 0, self._until("</math")):
                 own = re.search(r"<m(?:i|o|n|row|sup|sub|frac|sqrt)\b", m.group(1), re.I)
                 self._add("html" if own else "wiki", "formula", m.start(), m.end())
         if "&" in rest:
@@ -180,15 +268,15 @@ class Reading:
             for start, end, _, _ in underlined(rest):
                 self._add("markdown", "heading", start, end)
         if "`" in rest:
-            self._each(MD_CODE, "markdown", "inline")
+            self._spans(code_spans(rest), "markdown", "inline")
         if "*" in rest:
-            self._each(MD_STRONG, "markdown", "inline")
+            self._spans(doubled_spans(rest, "**"), "markdown", "inline")
             self._each(MD_EMPHASIS, "markdown", "inline")
         if "_" in rest:
             self._each(MD_STRONG, "markdown", "inline")
             self._each(MD_UNDER, "markdown", "inline")
         if "~~" in rest:
-            self._each(MD_STRIKE, "markdown", "inline")
+            self._spans(doubled_spans(rest, "~~"), "markdown", "inline")
         if "\\" in rest:
             for m in TEX_HEADING.finditer(rest):
                 self._add("latex", "heading", m.start(), m.end())
@@ -196,12 +284,27 @@ class Reading:
             self._each(TEX_TABLE, "latex", "table")
             self._each(TEX_FORMULA, "latex", "formula")
             self._each(TEX_DISPLAY, "latex", "formula")
+            inside = self._inside(("latex", "table"), ("latex", "formula"), ("latex", "list"))
             for m in TEX_INLINE.finditer(rest):
-                if not self._inside(m.start(), ("latex", "table"), ("latex", "formula"), ("latex", "list")):
+                if not inside(m.start()):
                     self._add("latex", "inline", m.start(), m.end())
 
-    def _inside(self, at: int, *where: tuple[str, str]) -> bool:
-        return any(a <= at < b for w in where for a, b in self.marks.get(w, ()))
+    def _inside(self, *where: tuple[str, str]) -> Callable[[int], bool]:
+        """Test of a place against the spans of these kinds found so far."""
+        starts: list[int] = []
+        ends: list[int] = []
+        for a, b in sorted(x for w in where for x in self.marks.get(w, ())):
+            if ends and a <= ends[-1]:
+                ends[-1] = max(b, ends[-1])
+            else:
+                starts.append(a)
+                ends.append(b)
+
+        def inside(at: int) -> bool:
+            k = bisect_right(starts, at) - 1
+            return k >= 0 and at < ends[k]
+
+        return inside
 
     def _weight(self, kind: str) -> int:
         return sum(len(v) * (1 if e == "inline" else 3) for (k, e), v in self.marks.items() if k == kind)
@@ -211,53 +314,65 @@ class Reading:
         wiki, markdown, latex = (self._weight(k) for k in ("wiki", "markdown", "latex"))
         hashes = list(HASH_LINE.finditer(rest)) if "#" in rest else []
         stars = list(STAR_LINE.finditer(rest)) if re.search(r"^[*#]", rest, re.M) else []
-        lone = [m for m in hashes if self._alone(m)]
+        lone = {m.start() for m in hashes if self._alone(m)}
         bullets = [m for m in MD_LIST.finditer(rest)] if re.search(r"^[ \t]*(?:[-+*]|\d{1,4}[.)])[ \t]", rest, re.M) else []
-        own = [m for m in bullets if m.group(1) != "*" and not (m.group(1)[0].isdigit() and not self._run(m, bullets))]
-        if any(len(m.group(1)) > 1 for m in lone):
+        runs = self._runs(bullets)
+        own = {m.start() for m in bullets if m.group(1) != "*" and not (m.group(1)[0].isdigit() and m.start() not in runs)}
+        if any(len(m.group(1)) > 1 and m.start() in lone for m in hashes):
             markdown += 3
-        if any(m.group(1) == "-" for m in own):
+        if any(m.group(1) == "-" for m in bullets):
             markdown += 1
         if any(re.match(r"\*\*|#[#*]|\*[#:]", m.group(1)) and not m.group(2).rstrip().endswith("**") and rest[m.start() + len(m.group(1))] in " \t" for m in stars):
             wiki += 1
         as_wiki = wiki > markdown
         for m in hashes:
-            if as_wiki or not (m in lone or markdown):
-                if len(m.group(1)) <= 2 and (as_wiki or not m in lone):
+            if as_wiki or not (m.start() in lone or markdown):
+                if len(m.group(1)) <= 2 and (as_wiki or m.start() not in lone):
                     self._add("wiki", "list", m.start(), m.end())
-            elif m in lone:
+            elif m.start() in lone:
                 self._add("markdown", "heading", m.start(), m.end())
         for m in stars:
             first = m.group(1)
             if as_wiki and set(first) <= {"*", "#"} and "*" in first and rest[m.start() + len(first)] in " \t":
                 self._add("wiki", "list", m.start(), m.end())
+        inside = self._inside(("latex", "table"), ("latex", "list"), ("wiki", "table"), ("markdown", "table"))
         for m in bullets:
             if m.group(1) == "*":
                 if not as_wiki:
                     self._add("markdown", "list", m.start(), m.end())
-            elif m in own and not self._inside(m.start(), ("latex", "table"), ("latex", "list"), ("wiki", "table"), ("markdown", "table")):
+            elif m.start() in own and not inside(m.start()):
                 self._add("markdown", "list", m.start(), m.end())
         if "$" in rest:
             kind = "latex" if latex > markdown else "markdown" if markdown else "latex"
-            for pattern in (DISPLAY, DOLLAR):
-                for m in pattern.finditer(rest):
-                    body = next(g for g in m.groups() if g)
-                    if re.search(r"[\\^_=<>+]|^[A-Za-z]$", body) and not self._inside(m.start(), ("latex", "formula"), ("markdown", "formula")):
-                        self._add(kind, "formula", m.start(), m.end())
+            display = [(m.start(), m.end(), m.group(1)) for m in DISPLAY.finditer(rest)]
+            for spans in (display, dollar_spans(rest)):
+                inside = self._inside(("latex", "formula"), ("markdown", "formula"))
+                for a, b, body in spans:
+                    if re.search(r"[\\^_=<>+]|^[A-Za-z]$", body) and not inside(a):
+                        self._add(kind, "formula", a, b)
 
     def _alone(self, m: re.Match) -> bool:
         """A line with no other marked line of its sort next to it."""
-        before = self.rest[: m.start()].rstrip("\r\n \t").rpartition("\n")[2] if self.rest[: m.start()].endswith("\n") else ""
-        close = self.rest[max(0, m.start() - 2) : m.start()]
-        after = self.rest[m.end() : m.end() + 3].lstrip("\r")
-        follows = self.rest[m.end() :].lstrip("\r")[1:2]
-        glued = close and not close.endswith("\n\n") and not self.rest[: m.start()].rstrip(" \t\r").endswith(("\n\n", "\r\n\r\n", "\n\r\n")) and before[:1] in "#*"
-        return not (glued and before) and not (after[:1] == "\n" and follows and follows in "#*")
+        rest, at = self.rest, m.start()
+        follows = rest[m.end() : m.end() + 3].lstrip("\r")[:2]
+        if follows[:1] == "\n" and follows[1:] and follows[1:] in "#*":
+            return False
+        if not at or rest[max(0, at - 4) : at].endswith(("\n\n", "\n\r\n")):
+            return True
+        end = at  # the last line above that is not blank
+        while end and rest[end - 1] in "\r\n \t":
+            end -= 1
+        return not end or rest[rest.rfind("\n", 0, end) + 1] not in "#*"
 
     @staticmethod
-    def _run(m: re.Match, bullets: list[re.Match]) -> bool:
-        """A numbered line is a list line when another list line touches it."""
-        return any(o is not m and o.group(1)[0].isdigit() and (0 <= o.start() - m.end() <= 2 or 0 <= m.start() - o.end() <= 2) for o in bullets)
+    def _runs(bullets: list[re.Match]) -> set[int]:
+        """Starts of numbered lines that another numbered line touches: those are list lines."""
+        numbered = [m for m in bullets if m.group(1)[0].isdigit()]
+        out: set[int] = set()
+        for a, b in zip(numbered, numbered[1:]):
+            if 0 <= b.start() - a.end() <= 2:
+                out.update((a.start(), b.start()))
+        return out
 
     def kinds(self) -> list[tuple[str, str]]:
         return sorted(k for k, v in self.marks.items() if v)
@@ -314,13 +429,14 @@ def _from_latex(t: str) -> str:
 
 
 def _from_markdown(t: str) -> str:
-    for start, end, title, mark in reversed(underlined(t)):
-        t = t[:start] + ("# " if mark[0] == "=" else "## ") + title + t[end:]
+    t = _replaced(t, [(start, end, ("# " if mark[0] == "=" else "## ") + title) for start, end, title, mark in underlined(t)])
     t = HASH_LINE.sub(lambda m: m.group(1) + " " + m.group(2).rstrip("# \r"), t)
     t = DISPLAY.sub(lambda m: "$" + m.group(1).strip() + "$", t)
-    t = MD_CODE.sub(lambda m: m.group(2).strip(), t)
+    t = _replaced(t, [(a, b, inside.strip()) for a, b, inside in code_spans(t)])
     t = MD_LINK.sub(lambda m: m.group(1) or "", t)
-    for pattern in (MD_STRONG, MD_STRIKE, MD_EMPHASIS, MD_UNDER):
+    for mark in ("**", "~~"):
+        t = _replaced(t, doubled_spans(t, mark))
+    for pattern in (MD_STRONG, MD_EMPHASIS, MD_UNDER):
         t = pattern.sub(lambda m: next((g for g in m.groups() if g), ""), t)
     return MD_LIST.sub(lambda m: ("- " if m.group(1) in "-+*" else m.group(1) + " ") + m.group(3), t)
 

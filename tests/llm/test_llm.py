@@ -415,3 +415,21 @@ def test_long_pairs_and_long_texts():
     begun = time.time()
     sentences.Splitter().units("Mr. Brown saw abc. Next one etc. Another " * 10_000 + '"' + "In it. Out. " * 20_000 + '"')
     assert time.time() - begun < 6
+
+
+@pytest.mark.parametrize("line", ["{}. item\n", "- item\n", "# head\n\n", "`a b ", "``a` ", "$a b ", "costs $5 and x\n", "**b ", "\\item x \\textbf{{a}}\n", "<script> x\n"])
+def test_markup_is_read_in_linear_time(line):
+    import time
+
+    text = "".join(line.format(i % 9000) for i in range(100_000))
+    begun = time.time()
+    markup.markup_kinds(text)
+    assert time.time() - begun < 4
+
+
+def test_long_formulas_and_spans():
+    long = " + ".join(f"x_{i}" for i in range(200))
+    assert ("latex", "formula") in markup.markup_kinds(f"\\section{{A}}\nLet ${long}$ hold.")
+    assert markup.markup_kinds("It costs $5 to $7, or US$ 3 and $HOME or $PATH.") == []
+    assert markup.code_spans("a `b` ``c ` d`` e` `f\n`") == [(2, 5, "b"), (6, 15, "c ` d"), (17, 20, " ")][:2]
+    assert markup.doubled_spans("**a** b ** c **d e**", "**") == [(0, 5, "a"), (13, 20, "d e")]
