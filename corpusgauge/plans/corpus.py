@@ -148,6 +148,9 @@ _VISIBLE = "content"
 for _c, _n in P.MARKERS.items():
     if _c != "\u0000":
         _VISIBLE = f"replace({_VISIBLE}, chr({ord(_c)}), '<{_n}>')"
+NORMALIZED = f"""regexp_replace(array_to_string(list_transform({S.lines(_VISIBLE)},
+            lambda x: CASE WHEN {_TABLE_LINE} OR {_DIAGRAM} THEN rtrim(x, ' ') ELSE regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' $', '') END), chr(10)), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')"""
+TABLE_LINE, HEADING_LINE = _TABLE_LINE, _HEADING
 _HAN = "length(content) - length(regexp_replace(content, '[一-鿿]', '', 'g'))"
 _VOTES = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({S.instances(s)}))), 'language': '{c}'}}" for c, s in sorted(P.STOP_WORDS.items()))
 _FENCED = "regexp_matches(line, '^#{1,6} +[^ ]')"
@@ -160,8 +163,7 @@ QUERIES = {f.__name__: f for f in (
 
 SQL = {
     "doc_stats": f"WITH {S.DOCS} SELECT id, length(content) AS chars, {S.token_count('content')} AS tokens, CAST(len({S.lines('content')}) AS BIGINT) AS line_count, CAST(len({S.words('content')}) AS BIGINT) AS word_count FROM docs",
-    "normalize_text": f"""WITH {S.DOCS}, n AS (SELECT id, normalized_content AS stored, regexp_replace(array_to_string(list_transform({S.lines(_VISIBLE)},
-            lambda x: CASE WHEN {_TABLE_LINE} OR {_DIAGRAM} THEN rtrim(x, ' ') ELSE regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' $', '') END), chr(10)), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS normalized FROM docs)
+    "normalize_text": f"""WITH {S.DOCS}, n AS (SELECT id, normalized_content AS stored, {NORMALIZED} AS normalized FROM docs)
         SELECT id, normalized, sha256(normalized) AS normalized_hash, coalesce(stored <> normalized, true) AS stale FROM n""",
     "control_markers": f"WITH {S.DOCS} SELECT id, marker, n FROM (" + " UNION ALL ".join(f"SELECT id, '{n}' AS marker, CAST(length(content) - length(replace(content, chr({ord(c)}), '')) AS BIGINT) AS n FROM docs" for c, n in P.MARKERS.items() if c != "\u0000") + ") WHERE n > 0",
     "structure_lines": f"""WITH {S.DOCS}, l AS (SELECT id, unnest({S.lines('content')}) AS x FROM docs)

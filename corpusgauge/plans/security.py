@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import calibration, decode, evaluation, rules, scoring
 from ..operators.base import chunks, documents, findings, table
 from ..sources import web
+from . import corpus
 from . import sql as S
 
 
@@ -189,8 +190,12 @@ _LABEL = "(['inconclusive','inconclusive','confirmed','ambiguous','confirmed','p
 _SURE = "([1.0, 0.95, 0.98, 0.55, 0.94, 0.76, 0.9, 0.45, 0.3])[k + 1]"
 _BODY = "coalesce(body, '')"
 _SIGNALS = f"SELECT id, {_any(_BODY, evaluation.REFUSALS)} AS refusal, {_any(_BODY, evaluation.LEAKS)} AS leak, contains(lower({_BODY}), 'the citation map') AS echo FROM obs"
-_TARGETS = """t AS (SELECT id AS document_id, 'normalized' AS scope, content AS text FROM docs WHERE id NOT IN (SELECT document_id FROM chs WHERE document_id IS NOT NULL)
-    UNION ALL SELECT id, 'raw', content FROM docs WHERE id NOT IN (SELECT document_id FROM chs WHERE document_id IS NOT NULL) UNION ALL SELECT document_id, 'chunk', content FROM chs UNION ALL SELECT id, 'title', title FROM docs
+_KIND = "CASE WHEN {0} LIKE 'BIDI%' THEN 'bidi_control' WHEN {0} = 'REPLACEMENT' THEN 'replacement_character' ELSE 'invisible_unicode' END"
+_MARKED = " UNION ".join(f"SELECT id, {_KIND.format(S.lit(n))} AS a FROM docs WHERE contains(content, chr({ord(c)}))" for c, n in P.MARKERS.items() if c != chr(0))
+_TARGETS = f"""nrm AS (SELECT id, {corpus.NORMALIZED} AS n FROM docs), ln AS (SELECT id, unnest({S.lines('n')}) AS x FROM nrm),
+    t AS (SELECT id AS document_id, 'normalized' AS scope, n AS text FROM nrm UNION ALL SELECT id, 'raw', content FROM docs UNION ALL SELECT document_id, 'chunk', content FROM chs UNION ALL SELECT id, 'title', title FROM docs
+    UNION ALL SELECT document_id, 'heading', unnest(headings) FROM chs UNION ALL SELECT id, 'heading', x FROM ln WHERE {corpus.HEADING_LINE} UNION ALL SELECT id, 'table', x FROM ln WHERE {corpus.TABLE_LINE}
+    UNION ALL SELECT id, 'annotation', a FROM ({_MARKED}) UNION ALL SELECT id, 'code', unnest(regexp_extract_all(n, {S.lit(rules.CODE_BLOCK)})) FROM nrm UNION ALL SELECT id, 'url', unnest(regexp_extract_all(n, {S.lit('(?i)' + P.URL)})) FROM nrm
     UNION ALL SELECT id, 'warning', unnest(warnings) FROM docs UNION ALL SELECT id, 'metadata', unnest(map_values(metadata)) FROM docs)"""
 _WIL = "1.959963984540054"
 
@@ -222,8 +227,8 @@ SQL = {
         e AS (SELECT k, round(-sum(n * 1.0 / t * log2(n * 1.0 / t)), 6) AS entropy FROM (SELECT k, n, sum(n) OVER (PARTITION BY k) AS t FROM n) GROUP BY k)
         SELECT id, count(*) AS runs FROM k JOIN e USING (k) WHERE entropy >= 4.5 GROUP BY id""",
     "hidden_html": f"WITH {S.DOCS} SELECT id FROM docs WHERE {' OR '.join(f'regexp_matches(content, {S.lit(p_)})' for p_ in ('(?im)' + x for x in P.HIDDEN_PATTERNS))}",
-    "suspicious_urls": f"""WITH {S.DOCS}, {_URLS}, r AS (SELECT id, url, array_to_string(list_filter([CASE WHEN contains({_AUTH}, '@') THEN 'userinfo' END, CASE WHEN regexp_extract(lower(url), '^([a-z]+)://', 1) IN ('file', 'javascript', 'data', 'ftp') THEN 'scheme' END,
-            CASE WHEN {_HOST} IN ({S.instances(P.METADATA_HOSTS)}) THEN 'local_host' END, CASE WHEN regexp_matches({_HOST}, '^{P.IPV4}$') THEN 'numeric_host' END, CASE WHEN {_HOST} IN ({S.instances(P.SHORTENERS)}) THEN 'shortener' END], lambda x: x IS NOT NULL), ',') AS reasons FROM u)
+    "suspicious_urls": f"""WITH {S.DOCS}, {_URLS}, r AS (SELECT id, url, array_to_string(list_filter([CASE WHEN contains({_AUTH}, '@') THEN 'userinfo' END, CASE WHEN regexp_extract(lower(url), '^([a-z]+)://', 1) IN ('file', 'javascript', 'data') THEN 'scheme' END,
+            CASE WHEN {_HOST} IN ({S.instances(P.METADATA_HOSTS)}) THEN 'local_host' END, CASE WHEN regexp_matches({_HOST}, '^{P.IPV4}$') THEN 'numeric_host' END, CASE WHEN regexp_matches({_HOST}, {S.lit(P.SHORTENER_END)}) THEN 'shortener' END], lambda x: x IS NOT NULL), ',') AS reasons FROM u)
         SELECT * FROM r WHERE reasons <> ''""",
     "url_origins": f"""WITH {S.DOCS}, u AS (SELECT unnest(regexp_extract_all(content, {S.lit('(?i)' + P.URL)})) AS url FROM docs),
         p AS (SELECT url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sch, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS auth FROM u), h AS (SELECT *, lower(regexp_replace(regexp_replace(auth, '^.*@', ''), ':[0-9]*$', '')) AS host, regexp_extract(auth, ':([0-9]+)$', 1) AS prt FROM p)
