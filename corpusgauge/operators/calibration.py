@@ -23,19 +23,36 @@ def wilson(successes: Column, total: Column) -> tuple[Column, Column]:
 def confusion(cases: DataFrame, expected: DataFrame, predicted: DataFrame, slices: tuple[str, ...] = ("language", "format")) -> DataFrame:
     """Counts over cases and the rules either side names, overall and by rule and slice.
 
-    cases: (case_id, *slices); expected and predicted: (case_id, rule_id). The rule universe
-    is a handful of ids, so the product of cases and rules is linear in the cases.
+    cases: (case_id, *slices), each case once; expected and predicted: (case_id, rule_id). Only the pairs one side
+    names are joined; what neither names is the number of pairs a slice has in all less these, so cases and rules
+    never meet as a product.
     """
-    e = expected.select("case_id", "rule_id").distinct().withColumn("e", F.lit(1))
-    p = predicted.select("case_id", "rule_id").distinct().withColumn("p", F.lit(1))
-    universe = e.select("rule_id").union(p.select("rule_id")).distinct()
-    grid = cases.crossJoin(F.broadcast(universe)).join(e, ["case_id", "rule_id"], "left").join(p, ["case_id", "rule_id"], "left")
-    flags = grid.select("rule_id", *slices, F.col("e").isNotNull().alias("e"), F.col("p").isNotNull().alias("p"))
+    e = expected.select("case_id", "rule_id").distinct().withColumn("e", F.lit(True))
+    p = predicted.select("case_id", "rule_id").distinct().withColumn("p", F.lit(True))
+    named = e.join(p, ["case_id", "rule_id"], "full_outer").select("case_id", "rule_id", F.coalesce("e", F.lit(False)).alias("e"), F.coalesce("p", F.lit(False)).alias("p"))
+    keys = ["rule_id", *slices]
+    grouping = lambda *own: sum(0 if k in own else 1 << (len(keys) - 1 - i) for i, k in enumerate(keys))
     n = lambda c: F.sum(c.cast("bigint"))
     sets = [[], [F.col("rule_id")], *[[F.col(s)] for s in slices]]
-    return flags.groupingSets(sets, "rule_id", *slices).agg(
-        n(F.col("e") & F.col("p")).alias("tp"), n(~F.col("e") & F.col("p")).alias("fp"), n(F.col("e") & ~F.col("p")).alias("fn"), n(~F.col("e") & ~F.col("p")).alias("tn")
+    seen = named.join(cases, "case_id").groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("g"), n(F.col("e") & F.col("p")).alias("tp"), n(~F.col("e") & F.col("p")).alias("fp"), n(F.col("e") & ~F.col("p")).alias("fn")
     )
+    rules = named.select("rule_id").distinct()
+    width, height = rules.agg(F.count("*").alias("width")), cases.agg(F.count("*").alias("height"))  # one row each
+    blank = lambda own: [F.lit(None).cast("string").alias(k) if k not in own else F.col(k).cast("string").alias(k) for k in keys]
+    pairs = F.col("width") * F.col("height")
+    whole = width.crossJoin(height).select(F.lit(grouping()).alias("g"), *blank(()), pairs.alias("pairs"))
+    whole = whole.unionByName(rules.crossJoin(height).select(F.lit(grouping("rule_id")).alias("g"), *blank(("rule_id",)), F.col("height").alias("pairs")))
+    for s in slices:
+        own = cases.groupBy(s).agg(F.count("*").alias("height")).crossJoin(width)
+        whole = whole.unionByName(own.select(F.lit(grouping(s)).alias("g"), *blank((s,)), pairs.alias("pairs")))
+    a, b = whole.alias("a"), seen.alias("b")
+    same = F.col("a.g") == F.col("b.g")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    counts = {c: F.coalesce(F.col(f"b.{c}"), F.lit(0)) for c in ("tp", "fp", "fn")}
+    rest = F.col("a.pairs") - counts["tp"] - counts["fp"] - counts["fn"]
+    return a.join(b, same, "left").where("pairs > 0").select(*(F.col(f"a.{k}") for k in keys), *(c.alias(k) for k, c in counts.items()), rest.alias("tn"))
 
 
 def metrics(counts: DataFrame) -> DataFrame:

@@ -578,3 +578,16 @@ def test_exclusions_fields_and_published_packs(spark):
     for wrong in (pack(scope=["nowhere"]), pack(matchers=[{"type": "magic", "patterns": []}]), pack(matchers=[{"type": "regex", "patterns": ["(a+)+"]}])):
         with pytest.raises(ValueError):
             rules.load_pack(wrong)
+
+
+def test_confusion_against_the_whole_product(spark):
+    cases = [("a", "en", "x"), ("b", "en", "y"), ("c", None, "x"), ("d", "de", "y")]
+    expected, predicted = [("a", "r1"), ("b", "r2"), ("zz", "r3"), ("a", "r1")], [("a", "r1"), ("c", "r1"), ("d", "r2")]
+    got = {(r.rule_id, r.language, r.format, r.tp, r.fp, r.fn, r.tn) for r in calibration.confusion(
+        spark.createDataFrame(cases, "case_id string, language string, format string"), spark.createDataFrame(expected, "case_id string, rule_id string"), spark.createDataFrame(predicted, "case_id string, rule_id string")).collect()}
+    e, p, rules_ = set(expected), set(predicted), ("r1", "r2", "r3")
+    want = set()
+    for key in [(None, None, None), *((r, None, None) for r in rules_), (None, "en", None), (None, "de", None), (None, None, "x"), (None, None, "y")]:
+        grid = [(c in e, c in p) for case, lang, fmt in cases for r in rules_ for c in [(case, r)] if key[0] in (None, r) and key[1] in (None, lang) and key[2] in (None, fmt)]
+        want.add((*key, *(grid.count(x) for x in ((True, True), (False, True), (True, False), (False, False)))))
+    assert want <= got
