@@ -1,12 +1,17 @@
 """Problem 2: personal information inside free text.
 
 Candidate gradient boosting. High-recall generators propose overlapping spans of five types
-(email, phone, id_number, address, name); boosted trees, one model a type, score them by
+(email, phone, id_number, address, name): every run of capitalised words with initials and
+particles, and each of its parts, may be a name, every number with words and commas around it an
+address, every run of seven digits a number. Lists of given names, street words and cues are
+features, not conditions. Boosted trees, one model a type, score the spans by
 features of their format and context; spans above the type's calibrated threshold are taken
 in order of score, without overlap, and replaced by typed placeholders.
 
 The models are fitted on the driver on labelled spans of sentences composed from
-invented parts (``training_spans``, a few thousand rows, fixed seed), never on the corpus. Text
+invented parts (``training_spans``, a few thousand rows, fixed seed; every third given name and every
+fourth street word is invented too), never on the corpus. Names in scripts without capitals are proposed
+after cue words only. Text
 is searched in plain form (width, invisible and look-alike characters undone) with every
 position mapped back, so values are exact substrings of the content.
 
@@ -47,29 +52,36 @@ CJK_SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁
 UPPER = r"A-ZÀ-ÖØ-ÞĞİŞĆČŁŃŚŽ"
 WORD = rf"[{UPPER}](?:\w|['’](?=[{UPPER}]))*[^\W\d_]"
 SURNAME = rf"{WORD}(?:-{WORD})*"
-PAIR = re.compile(rf"(?<![\w@./-])({WORD})((?: [{UPPER}]\.)? )({SURNAME})(?! ?[@(\[]at)")
 TITLED = re.compile(
     r"(?i:\b(?:applicant|contact|approved by|taken by|caller|from:|reply to|antragsteller(?:in)?|gestern fragte|freigegeben von|an frau|an herrn|"
     r"von:|merci de contacter|validé par|dossier de|de :|scrivere a|approvato da|richiedente|da:|escriba a|aprobado por|de:|başvuran|onaylayan|"
     r"kimden:|owner=|dün|ieri|ayer|hier,|yesterday))\s*(?:(?:dr|mr|mrs|ms|prof|sra|sr|dott|dott\.ssa|mme|m)\.? |frau |herr(?:n)? |sayın |dalla |dal |la |el |il )*"
     rf"({WORD})((?: [{UPPER}]\.)? )({SURNAME})"
 )
+PARTICLES = "van(?: der| den)?|von(?: der)?|de(?: la| los)?|del|della|di|da|dos|du|bin|ibn|al|el|ben|ter|zu|y"
+RUN = re.compile(rf"(?<![\w@./-]){WORD}(?:-{WORD})*(?: (?:[{UPPER}]\.|{PARTICLES}|{WORD}(?:-{WORD})*)(?![\w@])){{1,5}}")
+PART = re.compile(r"\S+")
 CJK_NAME = re.compile(r"(?:联系人[:：]?|申请人|收件人[:：]?|负责人[:：]?|由|昨天|姓名[:：]?|客户)([一-鿿]{2,4}?)(?=的身份|的电话|的护照|[，。、；,;]|女士|先生|询问|批准|$)", re.M)
 
 EMAIL = re.compile(
     r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]*(?:@| ?[\[({](?:at|arroba|chiocciola|arobase|ät|et|kuyruklu a)[\])}] ?| at (?=[\w-]+(?: dot [\w-]+)+))"
-    r"[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|punkt|punto|point|nokta)[\])}] ?| dot )[A-Za-z0-9-]+)*",
+    r"[A-Za-zÀ-ɏ0-9-]+(?:(?:\.| ?[\[({](?:dot|punkt|punto|point|nokta)[\])}] ?| dot )[A-Za-zÀ-ɏ0-9-]+)*",
     re.I,
 )
 NUMBER = re.compile(r"(?<![\w.+/$€£#-])(?:\+ ?|\(\+?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\d_a-zà-ÿ@]|[-./]\d)|(?<=[一-鿿])(?:\+ ?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\w]|[-./]\d)")
+ACCOUNT = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})* ?$")  # an account number begins before this number
 MIXED = re.compile(r"(?<![\w.+/-])(?:[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{1,2}\d{6,9}|\d{8}-? ?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{2}[A-Z0-9]{6,8}|\d{17}[Xx])(?![\w-])|(?<=[一-鿿])\d{17}[\dXx](?!\w)")
 
 _TOWN = rf"(?:(?:Bad|San|Saint|Sankt|Santa|New|Los|Las|La|Le|Les|Den|St\.) )?{WORD}(?:-{WORD})*"
 _STREET_EN = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Boulevard|Blvd\.?|Way|Place|Square|Terrace|Close|Crescent)"
 _POST_EN = r"(?:[A-Z]{2} \d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z0-9]? \d[A-Z]{2})"
+STREET_WORD = re.compile(rf"\b{_STREET_EN}(?=,|$| )|(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|hof)\b|\b(?:rue|avenue|boulevard|place|chemin|impasse|quai|Via|Viale|Piazza|Corso|Largo|Calle|Avenida|Plaza|Paseo|Mah\.|Mahallesi|Cad|Sok|Box|Postfach|Am|Im)\b|[路街巷]")
 ADDRESSES = [
     re.compile(p)
     for p in (
+        # any number before capitalised words, or after them, with a comma and a town behind
+        rf"(?<![\w/.,-])\d{{1,5}}[A-Za-z]? (?:{WORD} ){{0,3}}{WORD}, {_TOWN}(?:,? {_POST_EN}| \d{{4,5}})?(?!\w)",
+        rf"(?<![\w/-]){WORD}(?:[ -]{WORD}){{0,3}} \d{{1,4}} ?[a-z]?(?![a-z]), (?:[A-Z]{{1,2}}-)?\d{{4,5}} {_TOWN}(?!\w)",
         rf"(?<![\w/-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[A-Za-z]?, )?\d{{1,5}}[A-Za-z]? (?:{WORD} ){{1,3}}?{_STREET_EN},? {_TOWN}(?:,? {_POST_EN})?(?!\w)",
         rf"(?<![\w/-])(?:P\. ?O\. Box|PO Box|Postfach|Apartado(?: de correos)?|Casella postale|BP) \d+, (?:\d{{5}} )?{_TOWN}(?:,? {_POST_EN})?(?!\w)",
         rf"(?<![\w/-])(?:[A-ZÄÖÜ][\wäöüß]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|hof)|(?:Am|Im|An der|Auf dem) {WORD}) \d{{1,4}} ?[a-z]?(?![a-z]), \d{{5}} {_TOWN}(?!\w)",
@@ -88,8 +100,11 @@ CUES = {
     "address": re.compile(r"(?i)(liv\w+ at|left at|\bto$|ship|deliver|address|wohnt|liefer|adresse|habite|livrer|domicil|abita|spedire|residen|vive|enviar|direcci|adres|oturuyor|beri$|寄到|住|地址|\n$|in$|en$)"),
     "name": re.compile(r"(?i)(contact|applicant|approved by|taken by|met$|\band$|with$|yesterday|from:?$|antragsteller|fragte|freigegeben|wenden|an$|von:?$|merci|contacter|dossier de|hier,|validé par|de ?:$|codice fiscale di|scrivere a|ieri|approvat|dni de|ayer|escriba a|aprobad|başvuran|dün|onaylayan|sayın|için$|kimden:?$|owner=$|regards,\n$|saluti,\n$|cordialement,\n$|grüßen,?\n$|saludos,\n$|saygılarımla,\n$|frau$|herrn?$|联系人|申请人|收件人|由$|昨天)"),
 }
-AGAINST = re.compile(r"(?i)(batch|invoice|rechnung|facture|fattura|factura|fatura|lot|lote|lotto|parti|checksum|build|ticket|order|charge|serial|serie|version|release|isbn|sku|prüfsumme|somme|批次|发票|校验|bestell|colis|parcel no|article|part no|commit|hash|case|no\. of|issue)[^.\n]{0,14}$")
+AGAINST = re.compile(r"(?i)(batch|invoice|rechnung|facture|fattura|factura|fatura|lot|lote|lotto|parti|checksum|build|ticket|order|charge|serial|serie|version|release|isbn|sku|prüfsumme|somme|批次|发票|校验|bestell|colis|parcel no|article|part no|commit|hash|case|no\. of|issue)[^.?!。？\n]{0,14}$")
 PROJECT = re.compile(r"(?i)(project|projekt|projet|progetto|proyecto|projesi|release|codename|the|der|die|das|le|la|el|il)\s$")
+#: Words a person is often named after, and articles, which more often come before things.
+TO_PERSON = re.compile(r"(?i)(?:^|[^\w])(?:to|by|with|thank|thanks to|dear|signed:?|reach|spoke with|asked|told|says|according to|colleague|reviewer|patient|witness|manager|client|author|engineer|teacher|doctor|neighbou?r|about|and|or|an|von|bei|mit|laut|durch|à|avec|par|selon|pour|contactez|con|da|a|según|por|secondo|hablé con|oggi|mrs?\.?|ms\.?|dr\.?|frau|herrn?|madame|monsieur|signora?|señora?)\s$")
+ARTICLE = re.compile(r"(?i)(?:^|[^\w])(?:the|a|an|this|each|our|every|der|die|das|dem|den|des|ein|eine|einen|im|am|le|la|les|l'|un|une|des|du|il|lo|gli|i|el|los|las|una|del|bu|bir|of|in|on|at|près de)\s$")
 UNITS = re.compile(r"^\s?(?:kg|g\b|mb\b|gb\b|km\b|%|s\b|ms\b|cells|pages|rows|items|hosts|users|eur|usd|€|\$|:\d)", re.I)
 FORMATS = [
     re.compile(p)
@@ -208,7 +223,12 @@ def _digits(value: str) -> list[float]:
 
 def _address(text: str, a: int, b: int) -> list[float]:
     value = text[a:b]
-    return [float(bool(re.search(r"\d{5}|[A-Z]\d \d[A-Z]{2}|号", value))), float(value.count(",")), float(len(value)), float("\n" in value), float(bool(re.search(r"Box|Postfach|Flat|Mah|市", value)))]
+    tail = value.rpartition(",")[2]
+    return [
+        float(bool(re.search(r"\d{5}|[A-Z]\d[A-Z\d]? \d[A-Z]{2}|号", value))), float(value.count(",")), float(len(value)), float("\n" in value), float(bool(re.search(r"Box|Postfach|Flat|Mah|市", value))),
+        float(bool(STREET_WORD.search(value.partition(",")[0] if "市" not in value else value))), float(bool(re.search(r"\d", tail))), float(value[0].isdigit()), float(len(re.findall(r"\S+", value))),
+        float(any(p.fullmatch(value) for p in ADDRESSES[2:])),
+    ]
 
 
 def _name(text: str, a: int, b: int) -> list[float]:
@@ -224,6 +244,10 @@ def _name(text: str, a: int, b: int) -> list[float]:
         float(bool(re.search(r"(?i)\b(?:dr|mr|mrs|ms|prof|sra?|dott|dott\.ssa|mme|m)\.? $|\b(?:frau|herrn?|sayın) $", before))),
         float(parts[0].lower() in COMMON_STARTS), float(han), float(han and value[0] in CJK_SURNAMES), float(han and 2 <= len(value) <= 3), float(bool(re.search(r"\d", value))),
         float(bool(re.match(r" (?:projesi|project|release|index|connector|mirror|team|building|Inc|GmbH|Ltd|AG|SA|LLC)\b", after))),
+        float(bool(re.match(rf" [{UPPER}]\w", after))), float(any(c.islower() and c == x for x in parts for c in x[:1])), float(sum(x in GIVEN for x in parts)), float(any(x.lower() in COMMON_STARTS for x in parts[1:])),
+        float(max(map(len, parts))), float(min(map(len, parts))), float(not before.strip() or bool(re.search(r"[.!?:。][\"'”’»)]*\s*$|\n\s*$", before))),
+        float(bool(re.search(r"[^\W\d_]$", before.rstrip()) and before.endswith(" ") and before.rstrip().rpartition(" ")[2][:1].islower())), float(value.isascii()),
+        float(bool(TO_PERSON.search(before))), float(bool(ARTICLE.search(before))), float(bool(re.match(r"[,;]? (?:\w+ )?[a-zà-ÿ]{2,}(?:s|ed|t|te|a|ó|ò|en)\b", text[b : b + 24]))), float(bool(re.match(r"[.,;:!?]|\s*$", after))),
     ]
 
 
@@ -242,6 +266,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 out.append(("email", m.start(), m.start() + len(m.group().rstrip(".-"))))
     for m in NUMBER.finditer(text):
         value, a = m.group(), m.start()
+        if ACCOUNT.search(text, max(0, a - 40), a):
+            continue
         if sum(c.isdigit() for c in value) < 7 or DATE.fullmatch(value):
             continue
         ends = [len(value)] + [g.start() for g in re.finditer(r" ", value)]
@@ -257,13 +283,18 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         for p in ADDRESSES:
             for m in p.finditer(text):
                 out.append(("address", m.start(), m.end()))
-    for m in PAIR.finditer(text):
-        if m.group(1) in GIVEN:
-            out.append(("name", m.start(), m.end()))
-        else:  # the pair may begin one word late: Applicant Ruth Keldini
-            n = PAIR.match(text, m.start(3))
-            if n and n.group(1) in GIVEN:
-                out.append(("name", n.start(), n.end()))
+    for m in RUN.finditer(text):
+        words = [(m.start() + w.start(), m.start() + w.end()) for w in PART.finditer(m.group())]
+        for k, (a, b) in enumerate(words):
+            if not text[a].isupper() or text[b - 1] == "." or text[a:b].lower() in COMMON_STARTS:
+                continue
+            full = 1  # words but for initials and particles
+            for x, y in words[k + 1 : k + 5]:
+                if text[x].isupper() and text[y - 1] != ".":
+                    full += 1
+                    out.append(("name", a, y))
+                    if full == 3:
+                        break
     for m in TITLED.finditer(text):
         out.append(("name", m.start(1), m.end(3)))
     if not text.isascii():
@@ -283,7 +314,7 @@ def features(kind: str, text: str, a: int, b: int) -> list[float]:
     return own + _context(kind, text, a, b)
 
 
-def training_spans(seed: int = 3, size: int = 2600) -> list[tuple[str, list[tuple[str, str]]]]:
+def training_spans(seed: int = 3, size: int = 9000) -> list[tuple[str, list[tuple[str, str]]]]:
     """Composed sentences with their personal values, and sentences that only look so."""
     rng = random.Random(seed)
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -296,8 +327,12 @@ def training_spans(seed: int = 3, size: int = 2600) -> list[tuple[str, list[tupl
         return rng.choice([s, s, s, s.upper(), s + "-" + cap()])
 
     def name():
-        g = rng.choice(givens) if rng.random() < 0.9 else cap()[:5].capitalize()
-        return g + " " + (rng.choice("ABCDEFGHJKL") + ". " if rng.random() < 0.2 else "") + surname()
+        g = rng.choice(givens) if rng.random() < 0.67 else outside()
+        middle = rng.choice("ABCDEFGHJKL") + ". " if rng.random() < 0.2 else rng.choice(["van ", "von ", "de ", "da ", "del ", "van der ", "al "]) if rng.random() < 0.08 else ""
+        return g + " " + middle + surname() + (" " + cap() if rng.random() < 0.06 else "")
+
+    def outside():
+        return (rng.choice(["Hi", "Ka", "Mi", "Ya", "Sha", "Te", "O", "Lu", "Bra", "Ni", "Jo", "Ra"]) + rng.choice(["ro", "shi", "ne", "li", "va", "mo", "ki", "dra"]) + rng.choice(["", "", "ko", "n", "na", "to", "sha", "ra"])).capitalize()
 
     def phone():
         s = rng.choice([" ", "-", "."])
@@ -326,7 +361,7 @@ def training_spans(seed: int = 3, size: int = 2600) -> list[tuple[str, list[tupl
         w, t, n = cap() + rng.choice(["mere", "well", "brook"]), cap() + rng.choice(["ton", "ville", ""]), rng.randint(1, 250)
         han = lambda k: "".join(rng.choice("湾澜松溪岚清") for _ in range(k))
         return rng.choice([
-            f"{n} {w} {rng.choice(['Street', 'Ave', 'Rd.', 'Lane', 'Drive'])}, {t}, {up(2)} {d(5)}", f"Flat {rng.randint(1, 40)}, {n} {w} Road, {t} {up(2)}{d(1)} {d(1)}{up(2)}", f"P.O. Box {n}, {t}",
+            f"{n} {w} {rng.choice(['Street', 'Ave', 'Rd.', 'Lane', 'Drive'])}, {t}, {up(2)} {d(5)}", f"{n} {cap()} {rng.choice(['Gardens', 'Walk', 'Row', 'Hill', 'Mews', 'Green'])}, {t} {up(2)}{d(1)} {d(1)}{up(2)}", f"{w} {n}, {d(5)} {t}", f"Flat {rng.randint(1, 40)}, {n} {w} Road, {t} {up(2)}{d(1)} {d(1)}{up(2)}", f"P.O. Box {n}, {t}",
             f"{w}straße {n}, {d(5)} {t}", f"{w}weg {n}a, {d(5)} {t}", f"{n} rue de {w}, {d(5)} {t}", f"{n} bis, avenue {w}, {d(5)} {t}", f"Via {w} {n}, {d(5)} {t}", f"Piazza {w} {n}, {d(5)} {t}",
             f"Calle {w} {n}, {d(5)} {t}", f"{w} Mah. {t} Sok. No: {n}, {d(5)} {t}", f"{han(2)}市{han(2)}区{han(2)}路{n}号", f"{han(2)}市{han(2)}区{han(2)}路{n}号{rng.randint(1, 9)}单元{d(3)}室",
         ])
@@ -347,7 +382,18 @@ def training_spans(seed: int = 3, size: int = 2600) -> list[tuple[str, list[tupl
         "Per {w} scrivere a {N}, {E} oppure chiamare {P}.", "Ieri {N} ha chiesto notizie.", "Approvato dalla dott.ssa {N} il 3 maggio.", "El DNI de {N} es {I}.", "{N} vive en {A} desde mayo.", "Para {w} escriba a {N}, {E}, o llame al {P}.",
         "Ayer {N} preguntó por {w}.", "Aprobado por la Sra. {N} hoy.", "Başvuran {N}, T.C. kimlik no {I}, sordu.", "{N} 3 Mayıs tarihinden beri {A} adresinde oturuyor.", "{w} için {N} ile {E} ya da {P} üzerinden görüşün.", "Onaylayan Sayın {N}, tarih 3 Mayıs.",
         "{w}的联系人：{C}，电话 {P}，邮箱 {E}。", "申请人{C}的身份证号为{I}，事由是{w}。", "{w}请寄到{A}，收件人{C}。", "昨天{C}询问{w}为何停止。", "2021年由{C}女士批准了{w}。", "Cordialement,\n{N}\n{P} Le calendrier continue.", "Saygılarımla,\n{N}\n{P} Arama sürüyor.",
+        # other wordings
+        "The form was signed by {N} and countersigned by {N}.", "Ask for {N} at the front desk, or ring {P}.", "{N} joined in spring; until then {N} ran the archive.", "Our new colleague {N} reads mail at {E}.", "Speak to {N} before the audit.", "A note by {N} came with {w}.", "We agreed with {N} that {w} stays.", "The lawyer told {N}, not {N}.", "As {N} says, {w} is fine.", "Dear {N}, we write about {w}.", "Questions about {N} or {N} go to the desk.", "It was {N} who called.",
+        "Wir sprachen mit {N} über {w}.", "Laut {N} ist {w} fertig.", "Eine Notiz von {N} liegt bei.", "Une note de la part de {N} suit.", "Nous parlons avec {N} de {w}.", "Una nota scritta da {N} segue.", "Parliamo con {N} di {w}.", "Una nota escrita por {N} sigue.", "Hablamos con {N} de {w}.", "{N} moved to {A} in June.", "The queue is long. {N} lives in {A}.", "{N} vive in {A}.", "Todo sigue igual. {N} reside en {A}.", "{N} kam im Mai und blieb.", "Payment goes to {N}, {A}.",
+        "The witness, {N}, gave the number {P}.", "Thanks to {N} for the notes.", "Unterschrieben hat {N}, geprüft {N}.", "Das Paket ging an {N}, {A}.", "Herr {N} ist unter {P} zu erreichen.", "Die Unterlagen von {N} fehlen.", "Selon {N}, rien ne manque.", "Le colis est pour {N}, {A}.",
+        "Madame {N} répond au {P}.", "La firma è di {N}.", "Secondo {N} manca una pagina.", "Il signor {N} risponde al {P}.", "Lo firmó {N} en mayo.", "Según {N}, falta una página.", "Don {N} contesta en el {P}.", "İmza {N} tarafından atıldı.", "{N} Bey {P} numarasında.",
         # sentences without personal data
+        "The {s} {s} connector reads the queue of {s} {s}.", "{s} {s} moved to the new hosts.", "Der Dienst {s} {s} liest die Liste.", "Le service {s} {s} relit la liste.", "In {s} the {s} {s} index ran for {n2} minutes, {s} did not.", "Quarterly Report of {s} and {s}.", "Open Data Portal and {s} Mirror agree.",
+        "Then {s} restarted. Later {s} stopped.", "Ardından {s} devam etti.", "Sonra {s} durdu. Önce {s} başladı.", "Responde {s} de la lista.", "Después {s} volvió. Luego {s} siguió.", "Danach lief {s} weiter. Zuletzt {s} allein.", "Ensuite {s} est reparti. Puis {s} aussi.",
+        "Poi {s} è ripartito. Infine {s} tace.", "Meanwhile {s} waited. Afterwards {s} ran.", "Recently {s} {s} moved.", "{s} Entwürfe und {s} Minuten fehlen.", "Nach {s} Prozent Toleranz lief {s} Protokoll weiter.", "{s} {s} reçoit la liste. {s} {s} copia i dati.", "Quizá {s} lo sepa. Quien {s} pregunta.",
+        "The {s} Gateway, the {s} Index and {s} Archive agree.", "Le connecteur {s} {s} répond.", "El conector {s} {s} copia.", "Il connettore {s} {s} legge.", "{s} {s} bağlayıcısı okur.", "Wer {s} {s} prüft, liest mit.", "Ein Blick auf {s} {s} genügt.", "Copies of {s} {s} stay.", "On {s} {s} nothing ran.",
+        "Limites de {s} pour {w}.", "Wartungsfenster von {s} und Kopie von {s}.", "Beim Wartungsfenster von {s} fehlt der Index von {s}.", "Le registre de {s} et la copie de {s}.", "El índice de {s} copia el Registro de {s}.", "Limiti di {s}, resumen de {s}.", "Resumen de {s}: Registro de {s}.", "Grenzen von {s} und Kopie von {s}.", "Guide de {s} et Index de {s}.", "Ende {s} Quartals ruht {s}.",
+        "The account DE{n2} {n4} {n4} {n4} {n4} {n2} is closed.", "It took {n3} {s} pages, {s} and {s}.", "On Monday Morning {s} restarts.", "New York and Los Angeles keep a copy of {w}.", "See {s} {n2}, {n4} rows of {w}.", "In front of {s} {s} the {s} Review ended.", "Im {s} {s} lief nichts.", "Dans le {s} {s}, rien.",
         "Batch {n4}-{n5}-{n3} weighs 4.5 kg in {w}.", "Invoice 000{n3}-{n2}-{n3} belongs to {w}.", "Rechnung 000{n3}-{n2}-{n3} gehört zu {w}.", "La facture 000{n3}-{n2}-{n3} relève de {w}.", "The checksum {n12} of {w} was read twice.", "The checksum {n11} of {w} was read twice.",
         "批次{n11}属于{w}。", "The team gave it a mark, i.e. {n3} {n3} {n3} café points.", "It holds {n3} {n3} {n3} rows or {n2} {n3} {n3} bytes.", "Somme {n11} pour {w}.", "They counted 6{n2} {n3} {n3} words in {w}.",
         "批次{n12}属于{w}。", "发票000{n3}-{n2}-{n3}属于{w}。", "Ticket INC-2020-00{n3} moved to 192.0.2.{n2}.", "Queue time rose from 2020-03-14 to {n2}.5 s on 10.0.18.7.", "The handle @x_ops posted build {n7}.{n3} of {w}.", "The tag release@v{n1}.{n2}.4 marks {w}.",
@@ -414,7 +460,7 @@ def models() -> dict[str, BoostedTrees]:
         for kind, a, b in sorted(set(candidates(text))):
             x[kind].append(features(kind, text, a, b))
             y[kind].append(float((kind, text[a:b]) in true))
-    return {k: BoostedTrees().fit(np.array(x[k], dtype=np.float64), np.array(y[k])) for k in TYPES}
+    return {k: BoostedTrees(rounds=60).fit(np.array(x[k], dtype=np.float64), np.array(y[k])) for k in TYPES}
 
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
