@@ -71,9 +71,11 @@ BEFORE_STOP = re.compile(r"(?<![\w.])(?:[^\W\d_]\.)*[^\W\d_](?:[^\W\d_]|[\u0900-
 SAID = re.compile(r"^[^。！？\n]{0,24}?(?:说|說|道|问|問|喊|答|表示|写道)[^。！？]{0,3}[。！？]")
 THAI = "ก-\u0e3aเ-\u0e4e"
 THAI_GAP = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
-CAPITAL_AFTER = re.compile(r"([^\W\d_]{1,8})\.[\"'”’»)\]]*[ \u00a0\r\n]+([^\W\d_a-zà-öø-ÿ][\w'’]*)")
+CAPITAL_AFTER = re.compile(r"\.[\"'”’»)\]]*[ \u00a0\r\n]+([^\W\d_a-zà-öø-ÿ][\w'’]*)")
+LAST_WORD = re.compile(r"[^\W\d_]+$")
 BLANK = re.compile(r"\s*")
-WRITTEN = re.compile(r"(?<![\w'’.&/@_\u0300-\u036f-])[^\W\d_][\w'’\u0300-\u036f]*(?P<stop>\.)?")
+WRITTEN = re.compile(r"(?<![\w'’.&/@_\u0300-\u036f-])[^\W\d_][\w'’\u0300-\u036f]*")
+UNSTOPPED = re.compile(WRITTEN.pattern + r"(?![\w'’\u0300-\u036f.])")
 
 
 class Pairs:
@@ -150,17 +152,15 @@ class Evidence:
         return {unicodedata.normalize("NFC", w.group()) for w in found if w}
 
     @cached_property
-    def written(self) -> tuple[set[str], set[str]]:
-        """Words written small, and words without a full stop."""
-        small, plain = set(), set()
-        for m in WRITTEN.finditer(self.text):
-            word = unicodedata.normalize("NFC", m.group()[:-1] if m.group("stop") else m.group())
-            if word[0].islower():
-                small.add(word)
-                small.update(word[:k] for k, c in enumerate(word) if c in "'’")
-            if not m.group("stop"):
-                plain.add(word)
-        return small, plain
+    def small(self) -> set[str]:
+        """Words written small."""
+        found = {unicodedata.normalize("NFC", w) for w in set(WRITTEN.findall(self.text)) if w[0].islower()}
+        return found | {w[:k] for w in found if "'" in w or "’" in w for k, c in enumerate(w) if c in "'’"}
+
+    @cached_property
+    def plain(self) -> set[str]:
+        """Words without a full stop."""
+        return {unicodedata.normalize("NFC", w) for w in set(UNSTOPPED.findall(self.text))}
 
 
 class Splitter:
@@ -289,15 +289,15 @@ class Splitter:
         title = low in TITLES and (word[0].isupper() or low in ("dott", "sayın", "d") or not low.isascii())
         if len(low) <= 7 and (word in facts.inside or low in self.lexicon.abbreviations):
             return "title" if title else "abbreviation"
-        if low in self.lexicon.plain or word in facts.written[1] and len(word) > 1:
+        if low in self.lexicon.plain:
             return None
         if "." in low:
             return "abbreviation" if low not in CAN_END or low in ("u.s", "u.k", "e.u") else None
-        if title or len(word) == 1 and word.isupper():
-            return "title"
         if len(word) == 1:
-            return None if "\u0e00" <= word <= "\u0e7f" else "abbreviation"
-        return "abbreviation" if low in COMMON or digit and low in BEFORE_NUMBER else None
+            return "title" if word.isupper() else None if "\u0e00" <= word <= "\u0e7f" else "abbreviation"
+        if not (title or low in COMMON or digit and low in BEFORE_NUMBER) or word in facts.plain:
+            return None
+        return "title" if title else "abbreviation"
 
     def _full_stop(self, para: str, i: int, k: int, facts: Evidence) -> bool:
         before = para[max(0, i - 40) : i]
@@ -317,7 +317,7 @@ class Splitter:
         follows = unicodedata.normalize("NFC", next_word).lower()
         if kind == "title":
             return follows in self.lexicon.starters
-        return follows in facts.written[0] or follows in self.lexicon.small or follows in self.lexicon.starters
+        return follows in facts.small or follows in self.lexicon.small or follows in self.lexicon.starters
 
 
 def corpus_words(texts: DataFrame, min_count: int = 5, share: float = 0.95) -> Lexicon:
@@ -344,7 +344,9 @@ def corpus_words(texts: DataFrame, min_count: int = 5, share: float = 0.95) -> L
                     for m in ENDS_NOTHING.finditer(text):
                         if w := BEFORE_STOP.search(text, max(0, m.start() - 12), m.start()):
                             inside[w.group().lower()] += 1
-                    starts.update(CAPITAL_AFTER.findall(text))
+                    for m in CAPITAL_AFTER.finditer(text):
+                        if w := LAST_WORD.search(text, max(0, m.start() - 9), m.start()):
+                            starts[w.group(), m.group(1)] += 1
             rows: dict[str, list[int]] = {}
             for token, n in counts.items():
                 if len(token) <= 24 and (m := BARE.fullmatch(token)):
