@@ -52,12 +52,6 @@ CJK_SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁
 UPPER = r"A-ZÀ-ÖØ-ÞĞİŞĆČŁŃŚŽ"
 WORD = rf"[{UPPER}](?:\w|['’](?=[{UPPER}]))*[^\W\d_]"
 SURNAME = rf"{WORD}(?:-{WORD})*"
-TITLED = re.compile(
-    r"(?i:\b(?:applicant|contact|approved by|taken by|caller|from:|reply to|antragsteller(?:in)?|gestern fragte|freigegeben von|an frau|an herrn|"
-    r"von:|merci de contacter|validé par|dossier de|de :|scrivere a|approvato da|richiedente|da:|escriba a|aprobado por|de:|başvuran|onaylayan|"
-    r"kimden:|owner=|dün|ieri|ayer|hier,|yesterday))\s*(?:(?:dr|mr|mrs|ms|prof|sra|sr|dott|dott\.ssa|mme|m)\.? |frau |herr(?:n)? |sayın |dalla |dal |la |el |il )*"
-    rf"({WORD})((?: [{UPPER}]\.)? )({SURNAME})"
-)
 PARTICLES = "van(?: der| den)?|von(?: der)?|de(?: la| los)?|del|della|di|da|dos|du|bin|ibn|al|el|ben|ter|zu|y"
 RUN = re.compile(rf"(?<![\w@./-]){WORD}(?:-{WORD})*(?: (?:[{UPPER}]\.|{PARTICLES}|{WORD}(?:-{WORD})*)(?![\w@])){{1,5}}")
 PART = re.compile(r"\S+")
@@ -68,6 +62,8 @@ EMAIL = re.compile(
     r"[A-Za-zÀ-ɏ0-9-]+(?:(?:\.| ?[\[({](?:dot|punkt|punto|point|nokta)[\])}] ?| dot )[A-Za-zÀ-ɏ0-9-]+)*",
     re.I,
 )
+AT = re.compile(r"@| ?[\[({](?:at|arroba|chiocciola|arobase|ät|et|kuyruklu a)[\])}]| at (?=[\w-]+(?: dot [\w-]+)+)", re.I)
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
 NUMBER = re.compile(r"(?<![\w.+/$€£#-])(?:\+ ?|\(\+?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\d_a-zà-ÿ@]|[-./]\d)|(?<=[一-鿿])(?:\+ ?)?\d(?:[ .\-/()]{0,2}\d){6,20}(?![\w]|[-./]\d)")
 ACCOUNT = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})* ?$")  # an account number begins before this number
 MIXED = re.compile(r"(?<![\w.+/-])(?:[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{1,2}\d{6,9}|\d{8}-? ?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{2}[A-Z0-9]{6,8}|\d{17}[Xx])(?![\w-])|(?<=[一-鿿])\d{17}[\dXx](?!\w)")
@@ -93,6 +89,11 @@ ADDRESSES = [
     )
 ]
 
+#: Words without which an address pattern cannot match.
+HINTS = (
+    (), (), (), ("Box", "Postfach", "Apartado", "Casella", "BP"), (), (), ("Via", "Piazza", "Corso", "Largo", "Vicolo", "Strada"), ("Calle", "Avenida", "Avda.", "Plaza", "Paseo", "Camino", "Ronda", "C/"), ("Mah",), ("号",),
+)
+
 CUES = {
     "email": re.compile(r"(?i)(mail|e-?mail|contact|write|send|reply|from|von|kontakt|unter|écrire|à$|scrivere|escriba|correo|posta|邮箱|写信|adres|ile$|at$|an$|<$|[a-z] [\w-]+,$)"),
     "phone": re.compile(r"(?i)(\btel|phone|téléphone|telefon|teléfono|call|answers on|questions to|caller on|\bor$|oder$|\bou au$|\bau$|oppure|chiamare|llame|ya da$|nimmt$|répond|atiende|contesta|risponde|rückruf|电话|电話|mobil|cell|fax|numara|hattı|ulaş|regards|saluti|grüßen|cordialement|saludos|saygı|\n$|^$)"),
@@ -260,10 +261,17 @@ COMMON_STARTS = frozenset(
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping spans of plain text that may be personal data."""
     out: list[tuple[str, int, int]] = []
-    if "@" in text or re.search(r"[\[({](?:at|ar|chi|ät|et|ku)| dot ", text):
-        for m in EMAIL.finditer(text):
-            if "@" in m.group() or re.search(r"[\])}]| dot ", m.group()):
-                out.append(("email", m.start(), m.start() + len(m.group().rstrip(".-"))))
+    done = 0
+    for anchor in AT.finditer(text):
+        a = anchor.start()
+        while a > done and text[a - 1] in LOCAL:
+            a -= 1
+        while a < anchor.start() and not text[a].isalnum():
+            a += 1
+        m = EMAIL.match(text, a)
+        if m and ("@" in m.group() or re.search(r"[\])}]| dot ", m.group())):
+            out.append(("email", m.start(), m.start() + len(m.group().rstrip(".-"))))
+            done = m.end()
     for m in NUMBER.finditer(text):
         value, a = m.group(), m.start()
         if ACCOUNT.search(text, max(0, a - 40), a):
@@ -280,8 +288,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for m in MIXED.finditer(text):
         out.append(("id_number", m.start(), m.end()))
     if any(c.isdigit() for c in text):
-        for p in ADDRESSES:
-            for m in p.finditer(text):
+        for p, hints in zip(ADDRESSES, HINTS):
+            for m in p.finditer(text) if not hints or any(h in text for h in hints) else ():
                 out.append(("address", m.start(), m.end()))
     for m in RUN.finditer(text):
         words = [(m.start() + w.start(), m.start() + w.end()) for w in PART.finditer(m.group())]
@@ -295,8 +303,6 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                     out.append(("name", a, y))
                     if full == 3:
                         break
-    for m in TITLED.finditer(text):
-        out.append(("name", m.start(1), m.end(3)))
     if not text.isascii():
         for m in CJK_NAME.finditer(text):
             out.append(("name", m.start(1), m.end(1)))
