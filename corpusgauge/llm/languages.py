@@ -77,6 +77,7 @@ QUOTES = re.compile(r"\"([^\"\n]{2,120})\"|“([^”\n]{2,120})”|„([^“”\
 CUT = re.compile(r"(?<=[.!?؟।])[\"”’»)]*\s+(?=[^\sa-z])|(?<=[。！？])|\n+|\r")
 #: Scripts by their letters; a text with a fifth of its letters in one is in a language that uses it.
 SCRIPTS = ("[\u3040-ヿ]", "[㐀-鿿]", "[\u0600-\u06ff]", "[\u0900-\u097f]", "[ก-๛]", "[Ͱ-Ͽ]", "[\u0400-ԯ]", "[\u0590-\u05ff]", "[ᄀ-ᇿ가-힯]", "[\u0980-\u0dff]", "[԰-֏]", "[Ⴀ-ჿ]")
+NOT_LATIN = re.compile("[\u0370-\uffff]")
 USES_SCRIPT = 0.02  # of a language's letters
 UNKNOWN = "und"
 MISFIT = 6.0  # standard deviations under the mean of a language's own rows
@@ -185,7 +186,7 @@ class Model:
         total = self.score(texts)
         unknown = set()
         for i, text in enumerate(texts):
-            if not text.isascii() and self.users:
+            if self.users and NOT_LATIN.search(text):
                 for script, users in self.users.items():
                     if 5 * len(re.findall(script, text)) > len(LETTER.findall(text)):
                         if users:
