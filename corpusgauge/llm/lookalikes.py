@@ -46,6 +46,7 @@ WIDE = re.compile(
     "ｦ-ﾟﾡ-ￜ\U0001d400-\U0001d7ff\U0002f800-\U0002fa1f]"
 )
 VISIBLE_FORMS = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>", "<noBreak>", "<vertical>")
+COPIES = 1000  # documents of one visible text joined in one piece of work
 LIMIT = 0x530  # Latin, Greek and Cyrillic lie below
 
 
@@ -168,10 +169,11 @@ def normalize(documents: DataFrame, bigrams: dict[tuple[int, int], int] | None =
     """(document_id, normalized_content[, hashes]) of every row of (id, content)."""
     counts = corpus_bigrams(documents) if bigrams is None else bigrams
     names = ("document_id", "normalized_content", "content_key", "visible_key")
+    spread = documents.sparkSession.sparkContext.broadcast(counts)
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def make():
-        restorer = Restorer(counts)
+        restorer = Restorer(spread.value)
 
         def step(cols):
             shown = [restorer.consistent(t) for t in cols["content"]]
@@ -184,15 +186,20 @@ def normalize(documents: DataFrame, bigrams: dict[tuple[int, int], int] | None =
     return map_batches(documents.select("id", "content"), make, schema)
 
 
-def same_visible_text(documents: DataFrame) -> DataFrame:
+def same_visible_text(documents: DataFrame, copies: int = COPIES) -> DataFrame:
     """(document_id_a, document_id_b), a < b: contents differ, visible text does not.
 
     Only keys of 16 bytes are shuffled. Groups of one content, however many copies
-    it has, drop out before the join.
+    it has, drop out before the join; the documents of one visible text are cut by a hash into parts of about
+    ``copies``, and each pair of parts is joined by itself. Every pair is a row, as p3_found asks; ``normalize``
+    gives the form that does not grow with the square of a group.
     """
     keys = normalize(documents.where("content <> ''"), with_text=False).select("document_id", "content_key", "visible_key").distinct()
-    several = keys.groupBy("visible_key").agg(F.min("content_key").alias("x"), F.max("content_key").alias("y")).where("x <> y")
-    kept = keys.join(several.select("visible_key"), "visible_key", "left_semi")
-    a = kept.select("visible_key", F.col("document_id").alias("document_id_a"), F.col("content_key").alias("key_a"))
-    b = kept.select("visible_key", F.col("document_id").alias("document_id_b"), F.col("content_key").alias("key_b"))
-    return a.join(b, "visible_key").where("document_id_a < document_id_b and key_a <> key_b").select("document_id_a", "document_id_b").distinct()
+    several = (
+        keys.groupBy("visible_key").agg(F.min("content_key").alias("x"), F.max("content_key").alias("y"), F.count("*").alias("n")).where("x <> y")
+        .select("visible_key", F.ceil(F.col("n") / copies).cast("int").alias("parts"))
+    )
+    placed = keys.join(several, "visible_key").withColumn("part", F.pmod(F.xxhash64("document_id", "content_key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a = placed.select("visible_key", F.col("part").alias("i"), F.col("other").alias("j"), F.col("document_id").alias("document_id_a"), F.col("content_key").alias("key_a"))
+    b = placed.select("visible_key", F.col("other").alias("i"), F.col("part").alias("j"), F.col("document_id").alias("document_id_b"), F.col("content_key").alias("key_b"))
+    return a.join(b, ["visible_key", "i", "j"]).where("document_id_a < document_id_b and key_a <> key_b").select("document_id_a", "document_id_b").distinct()

@@ -80,6 +80,9 @@ def test_same_visible_text(spark):
     rows = [("a", "one text"), ("b", "оne text"), ("c", "one text"), ("c", "one text"), ("d", "One text"), ("e", None), ("f", ""), ("g", "one​ text")]
     got = {tuple(r) for r in lookalikes.same_visible_text(spark.createDataFrame(rows, "id string, content string")).collect()}
     assert got == {("a", "b"), ("b", "c"), ("a", "g"), ("b", "g"), ("c", "g")}
+    many = [(f"x{i:02d}", "one text" if i % 2 else "оne text") for i in range(20)]
+    df = spark.createDataFrame(many, "id string, content string")
+    assert lookalikes.same_visible_text(df, copies=3).count() == lookalikes.same_visible_text(df).count() == 100
 
 
 # 4 languages
