@@ -8,6 +8,9 @@ overlap counted in. Boundaries weaker than a sentence are offered only inside
 stretches that stronger ones leave too long; a single token longer than the
 limit is cut between code points.
 
+The overlap is ``overlap`` whole tokens, but at most a quarter of ``max_chars``: before very long tokens it is
+fewer. Behind a cut inside a token it is ``overlap`` code points of that token.
+
 Nulls and empty texts are never oversized. Repeated rows give one result. Headings
 are carried over; a null heading list becomes an empty one.
 """
@@ -91,6 +94,9 @@ def split_text(
     for i, p in enumerate(pos):
         k = max(0, int(first[i]) - overlap)
         at = starts[k] if k < first[i] else int(p)
+        own = bisect_right(starts, int(p) - 1) - 1
+        if own >= 0 and p < ends[own]:  # inside a token
+            at = max(starts[own], int(p) - overlap)
         begin[i] = 0 if i == 0 else max(at, int(p) - max_chars // 4)
     begin_tok = np.searchsorted(np.array(ends), begin, side="right")
     n = max(-(-len(starts) // max(1, max_tokens - overlap)), -(-len(text) // (max_chars - 0)))
@@ -108,6 +114,8 @@ def split_text(
         fits = (past[j] - begin_tok[span] <= max_tokens) & (pos[j] - begin[span] <= max_chars)
         total = np.where(fits, cost[span] + (1 - size) ** 2 + 0.05, np.inf)
         k = int(np.argmin(total))
+        if not np.isfinite(total[k]):
+            raise ValueError(f"no cut keeps a piece within {max_tokens} tokens and {max_chars} code points")
         cost[j], back[j] = total[k] + penalty[j], low + k
     pieces, j = [], len(pos) - 1
     while j > 0:

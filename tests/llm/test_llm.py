@@ -28,7 +28,14 @@ def test_pieces_keep_the_limits(text, overlap):
     for (a, b, n, _), (c, _, _, _) in zip(pieces, pieces[1:]):
         assert c <= b and n <= 500 and b - a <= 4000
     for a, b, n, _ in pieces:
-        assert b - a <= 4000 and splitting.count_tokens(text[a:b]) <= 501
+        assert b - a <= 4000 and splitting.count_tokens(text[a:b]) <= 500
+
+
+def test_cuts_inside_a_token_overlap_in_characters():
+    pieces = splitting.split_text("x" * 9000, 500, 4000, 30)
+    assert all(b - c == 30 for (_, b, _, _), (c, _, _, _) in zip(pieces, pieces[1:]))
+    with pytest.raises(ValueError):
+        splitting.split_text("word " * 200, 3, 1, 0)
 
 
 def test_split_prefers_paragraphs(spark):
