@@ -10,11 +10,9 @@ comparison, a masked value, a snake_case name, a banner) match no grammar.
 Clean text keeps headings (``# ``), lists (``- ``), code (fenced), tables (cells
 between bars) and formulas (between dollar signs) and drops the rest of the notation.
 
-Template deduction over pages of one host (equivalence classes of tokens with equal
-occurrence vectors) is provided as ``page_templates``: classes are found by one grouping
-of (source, token) on an order-free fingerprint of the occurrence vector. It tells
-repeated page furniture, not which notation a sign belongs to, so p6_found rests on
-the grammars; the README says so.
+Template deduction over pages of one host is in ``templates``. It tells repeated page
+furniture, not which notation a sign belongs to, so p6_found rests on the grammars; the README
+says so, with figures.
 
 Null contents have no markup and a null clean text; empty ones an empty text.
 """
@@ -28,7 +26,6 @@ from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import map_batches
 
@@ -481,47 +478,3 @@ def cleaned(documents: DataFrame) -> DataFrame:
         return lambda cols: {"document_id": cols["id"], "clean_content": [clean_text(t) for t in cols["content"]]}
 
     return map_batches(documents.select("id", "content"), make, "document_id string, clean_content string")
-
-
-TEMPLATE_TOKEN = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|[^\W_]+(?:-\w+)*|[^\w\s]")
-MIN_SUPPORT = 3
-MIN_SHARE = 0.05
-
-
-def page_templates(documents: DataFrame, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE) -> DataFrame:
-    """Equivalence classes of tokens that occur equally often on the same pages of a source.
-
-    (source_id, support, class_tokens, position): ``support`` pages hold the class, whose
-    tokens come in order of mean position. The fingerprint of an occurrence vector is the sum
-    of a hash of (page, count), so a source's pages need not meet in one task; (source,
-    token) pairs are pre-aggregated before the shuffle. A class needs ``min_support`` pages and
-    ``min_share`` of its source's pages.
-    """
-    names = ("source_id", "token", "count", "first", "length", "page")
-
-    def make():
-        def step(cols):
-            rows = []
-            for source, ident, text in zip(cols["source_id"], cols["id"], cols["content"]):
-                seen: dict[str, list[int]] = {}
-                for i, m in enumerate(TEMPLATE_TOKEN.finditer(text or "")):
-                    seen.setdefault(m.group(), [0, i])[0] += 1
-                total = sum(n for n, _ in seen.values())
-                rows.extend((source, token, n, i, total, ident) for token, (n, i) in seen.items())
-            return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
-
-        return step
-
-    pages = documents.select(F.col("source.source_id").alias("source_id"), "id", "content").where("source_id is not null and content is not null")
-    tokens = map_batches(pages, make, "source_id string, token string, count int, first int, length int, page string", rows=200)
-    by_token = tokens.groupBy("source_id", "token").agg(
-        F.count("*").alias("support"),
-        F.sum(F.xxhash64("page", "count").cast("decimal(20,0)")).cast("string").alias("vector"),
-        F.avg(F.col("first") / F.col("length")).alias("position"),
-    )
-    size = pages.groupBy("source_id").agg(F.countDistinct("id").alias("pages"))
-    shared = by_token.join(size, "source_id").where((F.col("support") >= min_support) & (F.col("support") >= min_share * F.col("pages")))
-    classes = shared.groupBy("source_id", "vector", "support").agg(
-        F.array_sort(F.collect_list(F.struct("position", "token"))).alias("t"), F.min("position").alias("position")
-    )
-    return classes.where(F.size("t") > 1).select("source_id", "support", F.col("t.token").alias("class_tokens"), "position")

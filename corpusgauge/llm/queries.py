@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, markup, near_duplicates, personal, sentences, splitting, tokenization
+from . import languages, leakage, lookalikes, markup, near_duplicates, personal, sentences, splitting, templates, tokenization
 from .common import corpus_items, table
 
 
@@ -77,7 +77,12 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_templates(spark: SparkSession, d: str) -> DataFrame:
-    return markup.page_templates(table(spark, d, "scan_documents"))
+    return templates.templates(table(spark, d, "scan_documents"))
+
+
+def p6_slots(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "scan_documents")
+    return templates.slots(docs, templates.templates(docs))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from corpusgauge.llm import languages as lang
-from corpusgauge.llm import leakage, lookalikes, markup, near_duplicates, personal, sentences, splitting, tokenization
+from corpusgauge.llm import leakage, lookalikes, markup, near_duplicates, personal, sentences, splitting, templates, tokenization
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -244,11 +244,28 @@ def test_long_lines_are_quick():
     markup.markup_kinds("x" * 200_000 + "\n-\n" + "a | b " * 5000 + "`" * 50)
 
 
+PAGE = "<html><nav>Home News</nav><h1>{0}</h1><ul>{1}</ul><footer>All rights kept</footer></html>"
+SOURCED = "id string, source struct<source_id:string>, content string, host string"
+
+
 def test_templates(spark):
-    src = "struct<source_id:string>"
-    rows = [(f"p{i}", (None if i == 9 else "s",), f"<header>Site Name</header> unique{i} words{i} <footer>Contact us</footer>") for i in range(10)]
-    got = markup.page_templates(spark.createDataFrame(rows, f"id string, source {src}, content string")).collect()
-    assert any({"Site", "Name", "Contact", "us"} <= set(r.class_tokens) and r.support == 9 for r in got)
+    rows = [(f"p{i}", ("s",), PAGE.format(f"title{i} here{i}", "".join(f"<li>item{i}x{k}</li>" for k in range(1 + i % 3))), "clash") for i in range(6)]
+    rows += [rows[0], ("null", ("s",), None, None), ("empty", ("s",), "", None), ("other", ("t",), "alone on its host", None)]
+    df = spark.createDataFrame(rows, SOURCED)
+    got = templates.templates(df).collect()
+    frame = next(r for r in got if "<nav>" in r.tokens)
+    inner = next(r for r in got if "<li>" in r.tokens)
+    assert frame.tokens == ["<html>", "<nav>", "Home", "News", "</nav>", "<h1>", "</h1>", "<ul>", "</ul>", "<footer>", "All", "rights", "kept", "</footer>", "</html>"]
+    assert frame.support == 6 and frame.parent is None
+    assert inner.tokens == ["<li>", "</li>"] and inner.parent == frame.class_id and frame.tokens[inner.gap] == "</ul>"
+    found = {(r.page, r.content) for r in templates.slots(df, templates.templates(df)).collect()}
+    assert found == {(f"p{i}", t) for i in range(6) for t in [f"title{i} here{i}", *(f"item{i}x{k}" for k in range(1 + i % 3))]}
+    assert templates.templates(df.limit(0)).count() == 0
+
+
+def test_a_class_out_of_order_is_no_template(spark):
+    rows = [(f"p{i}", ("s",), ("alpha one{0} beta" if i % 2 else "beta one{0} alpha").format(i), None) for i in range(6)]
+    assert templates.templates(spark.createDataFrame(rows, SOURCED)).count() == 0
 
 
 # 7 tokenization
