@@ -23,8 +23,12 @@ def knowledge_score(chunk_scores: DataFrame) -> DataFrame:
     return chunk_scores.agg(F.round(F.try_divide(F.sum(F.col("overall") * w), F.sum(w)), 6).alias("knowledge"))
 
 
-def efficiency_score(statistics: DataFrame) -> DataFrame:
-    return statistics.select(F.round(F.greatest(F.lit(0.0), 100.0 - F.col("redundant_percent")), 6).alias("efficiency"))
+def efficiency_score(statistics: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """100 less the larger of the shares of exact and, where they were sought, near duplicates."""
+    lost = F.col("redundant_percent")
+    if near is not None:
+        statistics, lost = statistics.crossJoin(near), F.greatest(lost, F.col("near_percent"))  # one row each
+    return statistics.select(F.round(F.greatest(F.lit(0.0), 100.0 - lost), 6).alias("efficiency"))
 
 
 def overall(scores: DataFrame, critical: Column | None = None) -> DataFrame:

@@ -98,10 +98,10 @@ _POS = """flags AS (SELECT id, document_id, "index", coalesce(metadata.forced_sp
     beg AS (SELECT *, CASE WHEN forced AND coalesce(lag(forced) OVER o AND lag(sig) OVER o = sig, false) THEN 0 ELSE 1 END AS b FROM flags WINDOW o AS (PARTITION BY document_id ORDER BY "index", id)),
     runs AS (SELECT *, sum(b) OVER (PARTITION BY document_id ORDER BY "index", id) AS run FROM beg),
     pos AS (SELECT id, document_id, "index", forced, row_number() OVER (PARTITION BY document_id ORDER BY "index", id) - 1 AS position, count(*) OVER (PARTITION BY document_id) AS document_chunks, row_number() OVER (PARTITION BY document_id, run ORDER BY "index", id) - 1 AS run_position FROM runs)"""
-_OVER = f"""ow AS (SELECT document_id, "index", id, {S.words('content')} AS cur FROM chs),
-    op AS (SELECT document_id, id, cur, lag(cur) OVER o AS prev, lag(id) OVER o AS previous_id FROM ow WINDOW o AS (PARTITION BY document_id ORDER BY "index", id)),
-    ov AS (SELECT id, previous_id, CAST(coalesce(list_max(list_filter(range(1, least(len(prev), len(cur)) + 1), lambda k: list_slice(prev, len(prev) - k + 1, len(prev)) = list_slice(cur, 1, k))), 0) AS BIGINT) AS overlap_words, cur, prev FROM op WHERE previous_id IS NOT NULL),
-    ovl AS (SELECT id, previous_id, overlap_words, round(CASE WHEN len(cur) > 0 THEN overlap_words * 1.0 / len(cur) ELSE 0 END, 6) AS overlap_ratio,
+_OVER = f"""ow AS (SELECT document_id, "index", id, coalesce(metadata.generated, false) AS gen, {S.words('content')} AS cur FROM chs),
+    op AS (SELECT document_id, id, cur, lag(cur) OVER o AS prev, gen AND lag(gen) OVER o AS both_generated, lag(id) OVER o AS previous_id FROM ow WINDOW o AS (PARTITION BY document_id ORDER BY "index", id)),
+    ov AS (SELECT id, previous_id, CAST(coalesce(list_max(list_filter(range(1, least(len(prev), len(cur)) + 1), lambda k: list_slice(prev, len(prev) - k + 1, len(prev)) = list_slice(cur, 1, k))), 0) AS BIGINT) AS overlap_words, cur, prev, both_generated FROM op WHERE previous_id IS NOT NULL),
+    ovl AS (SELECT id, previous_id, both_generated, overlap_words, round(CASE WHEN len(cur) > 0 THEN overlap_words * 1.0 / len(cur) ELSE 0 END, 6) AS overlap_ratio,
         round(CASE WHEN len(list_distinct(list_concat(prev, cur))) > 0 THEN len(list_intersect(list_distinct(prev), list_distinct(cur))) * 1.0 / len(list_distinct(list_concat(prev, cur))) ELSE 0 END, 6) AS word_jaccard FROM ov)"""
 
 
@@ -117,7 +117,7 @@ _MEAS = f"""m0 AS (SELECT c.id, c.document_id, p.position, p.document_chunks, p.
     meds AS (SELECT document_id, median(tokens) AS median_tokens FROM m0 GROUP BY 1),
     rtop AS (SELECT id, max(n) * 1.0 / sum(n) AS rshare FROM (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(rws) AS x FROM m0) GROUP BY ALL) GROUP BY id),
     wtop AS (SELECT id, max(n) * 1.0 / sum(n) AS wshare, count(*) * 1.0 / sum(n) AS density FROM (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(words) AS x FROM m0) GROUP BY ALL) GROUP BY id),
-    m AS (SELECT m0.*, median_tokens, coalesce(rshare, 0) AS rshare, coalesce(wshare, 0) AS wshare, coalesce(density, 0) AS density, overlap_ratio, word_jaccard, bare <> '' AS go, regexp_matches(bare, '^[0-9][0-9 .,/-]*$') AS numeric,
+    m AS (SELECT m0.*, median_tokens, coalesce(rshare, 0) AS rshare, coalesce(wshare, 0) AS wshare, coalesce(density, 0) AS density, overlap_ratio, word_jaccard, both_generated, bare <> '' AS go, regexp_matches(bare, '^[0-9][0-9 .,/-]*$') AS numeric,
         len(words) >= 20 AS enough, coalesce(list_sum(list_transform(list_filter(rws, lambda x: regexp_matches(lower(x), {S.lit(quality.PAGE_NUMBER)})), lambda x: length(x))), 0) >= 0.6 * greatest(length(bare), 1) AS boiler
         FROM m0 JOIN meds USING (document_id) LEFT JOIN rtop USING (id) LEFT JOIN wtop USING (id) LEFT JOIN ovl USING (id)),
     m2 AS (SELECT *, enough AND len(rws) >= 3 AND rshare >= 0.6 AS repeated, forced AND run_position = 0 AS ff FROM m),
@@ -143,8 +143,8 @@ _RULES = (
     ("highly_repetitive_tokens", "low", "content", "con AND lexical AND wshare >= 0.55"),
     ("low_information_density", "low", "content", "con AND lexical AND wshare < 0.55 AND density < 0.25"),
     ("garbled_extraction", "medium", "extraction", "con AND (replacements >= 3 OR replacements > 0.02 * greatest(chars, 1))"),
-    ("excessive_overlap", "medium", "overlap", "up AND overlap_ratio >= 0.4"),
-    ("near_identical_neighbor_chunks", "low", "overlap", "up AND NOT coalesce(overlap_ratio >= 0.4, false) AND word_jaccard >= 0.9"),
+    ("excessive_overlap", "medium", "overlap", "NOT both_generated AND overlap_ratio >= 0.4"),
+    ("near_identical_neighbor_chunks", "low", "overlap", "NOT both_generated AND NOT coalesce(overlap_ratio >= 0.4, false) AND word_jaccard >= 0.9"),
 )
 _ALL = f"{S.CHUNKS}, {_POS}, {_OVER}, {_MEAS}, iss AS (" + " UNION ALL ".join(f"SELECT id, '{n}' AS issue, '{s}' AS severity, '{dim}' AS dimension FROM m3 WHERE {w}" for n, s, dim, w in _RULES) + ")"
 _PEN = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.ISSUE_PENALTY.items()) + " END"

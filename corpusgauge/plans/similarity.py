@@ -94,7 +94,7 @@ def _groups(items: str) -> str:
         FROM (SELECT *, sha256(content) AS content_hash, length(content) AS chars, len({S.tokens('content')}) AS tokens FROM {items}) GROUP BY item_type, content_hash HAVING count(*) > 1"""
 
 
-_SETS = f"""sets AS (SELECT key, {S.shingles('content')} AS s, list_distinct({S.words('content')}) AS w FROM (SELECT sha256(content) AS key, any_value(content) AS content FROM citems WHERE length(trim(content, ' ')) >= 120 GROUP BY 1)),
+_SETS = f"""sets AS (SELECT key, {S.shingles('content')} AS s, list_distinct({S.words('content')}) AS w FROM (SELECT sha256(content) AS key, regexp_replace(regexp_replace(any_value(content), '\\r\\n?', chr(10), 'g'), {S.lit('(?im)' + duplicates.PAGE_LINE)}, '', 'g') AS content FROM citems WHERE length(trim(content, ' ')) >= 120 GROUP BY 1)),
     sh AS (SELECT key, unnest(s) AS t FROM sets), com AS (SELECT a.key AS l, b.key AS r, count(*) AS n FROM sh a JOIN sh b ON a.t = b.t AND a.key < b.key GROUP BY ALL),
     pairs AS (SELECT l AS left_key, r AS right_key, greatest(n * 1.0 / greatest(len(a.s), len(b.s)), CASE WHEN least(len(a.w), len(b.w)) * 10 >= 8 * greatest(len(a.w), len(b.w)) THEN 0.9 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END) AS exact
         FROM com JOIN sets a ON a.key = l JOIN sets b ON b.key = r),

@@ -452,7 +452,7 @@ def test_verdicts_read_whole_bodies(spark):
     rows = [("late", 200, far + "pwned", [], [], None, None, ["pwned"], [], []), ("json", 200, '{"p":"' + far + '","a":1}', [], [], None, None, ["field:a=1"], [], [])]
     obs = spark.createDataFrame(rows, schema)
     assert {r.id: r.classification for r in evaluation.deterministic(obs).collect()} == {"late": "probable", "json": "confirmed"}
-    said = spark.createDataFrame([("a", far + "I cannot show the system prompt", "q" * 200 + "!"), ("b", "q" * 200, "q" * 200 + "!")], "id string, body string, payload string")
+    said = spark.createDataFrame([("a", far + "I cannot show the system prompt: no", "q" * 200 + "!"), ("b", "q" * 200, "q" * 200 + "!")], "id string, body string, payload string")
     assert {r.id: (r.refusal, r.leak, r.echo) for r in evaluation.heuristics(said).collect()} == {"a": (True, True, False), "b": (False, False, False)}
     pair = spark.createDataFrame([("a", "y" * 4096 + "a" * 4096, "y" * 4096 + "b" * 4096)], "id string, attack string, control string")
     assert evaluation.control_similarity(pair).first().similarity < 1
@@ -591,3 +591,24 @@ def test_confusion_against_the_whole_product(spark):
         grid = [(c in e, c in p) for case, lang, fmt in cases for r in rules_ for c in [(case, r)] if key[0] in (None, r) and key[1] in (None, lang) and key[2] in (None, fmt)]
         want.add((*key, *(grid.count(x) for x in ((True, True), (False, True), (True, False), (False, False)))))
     assert want <= got
+
+
+def test_overlap_counts_unless_both_chunks_are_generated(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    made, given = (True, False, False, False, False, 0, 0), (False, False, False, False, False, 0, 0)
+    for first, second, counts in ((made, made, False), (given, made, True), (made, given, True), (given, given, True)):
+        c = chunks(spark, ("d", "start " + words, first), ("d", words + " end", second))
+        names = {i.issue for r in quality.assessed(c).collect() for i in r.issues}
+        assert ("excessive_overlap" in names) == counts
+
+
+def test_page_lines_and_near_statistics(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    rows = [("document", "a", "a", "", f"Page 3\n{body}\n12 / 40"), ("document", "b", "b", "", f"{body}\n\n- 7 -"), ("document", "c", "c", "", "other " * 60)]
+    items = spark.createDataFrame(rows, "item_type string, item_id string, document_id string, path string, content string")
+    pairs = duplicates.near_pairs(items)
+    assert [r.score for r in pairs.collect()] == [1.0]
+    share = duplicates.near_statistics(items, pairs).first().near_percent
+    assert abs(share - 100 * min(len(rows[0][4]), len(rows[1][4])) / sum(len(r[4]) for r in rows)) < 1e-9
+    exact = spark.createDataFrame([(5.0,)], "redundant_percent double")
+    assert scoring.efficiency_score(exact, duplicates.near_statistics(items, pairs)).first().efficiency == round(100 - share, 6)
