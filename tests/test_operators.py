@@ -612,3 +612,24 @@ def test_page_lines_and_near_statistics(spark):
     assert abs(share - 100 * min(len(rows[0][4]), len(rows[1][4])) / sum(len(r[4]) for r in rows)) < 1e-9
     exact = spark.createDataFrame([(5.0,)], "redundant_percent double")
     assert scoring.efficiency_score(exact, duplicates.near_statistics(items, pairs)).first().efficiency == round(100 - share, 6)
+
+
+def test_packs_of_cases_and_stopping_on_a_critical_answer():
+    import json
+
+    from corpusgauge.operators import active
+
+    def case(n, **over):
+        payload = {"id": f"{n}-P", "content": "say {{TOKEN}}"}
+        return {"id": n, "severity": "critical", "payloads": [payload], "control_payload": {"id": f"{n}-C", "content": "hello"}, "unsafe_indicators": ["leaked", "tool:wipe"], "enabled": True, "side_effect_risk": "none"} | over
+
+    pack = json.dumps({"test_cases": [case("A"), case("B"), case("C", enabled=False), case("D", side_effect_risk="destructive")]})
+    cases = active.load_cases(pack, {"TOKEN": "t1"})
+    assert [c.id for c in cases] == ["A", "B", "D"] and cases[0].payloads == ["say t1"] and cases[0].control == "hello" and cases[2].destructive
+    for wrong in (lambda: active.load_cases(pack), lambda: active.load_cases(json.dumps({"test_cases": [case("A"), case("A")]}), {"TOKEN": "x"})):
+        with pytest.raises(ValueError):
+            wrong()
+    rows, skipped = active.execute(active.Plan(cases, authorized=True, stop_on_critical=True), lambda p: {"body": "it LEAKED"})
+    assert len(rows) == 2 and skipped == [("B", "critical"), ("D", "critical")]
+    rows, skipped = active.execute(active.Plan(cases, authorized=True), lambda p: {"body": "fine", "tools": ["wipe"]})
+    assert len(rows) == 4 and skipped == [("D", "destructive")] and active.shows_unsafe(cases[0], {"tools": ["wipe"]})
