@@ -37,32 +37,45 @@ def rate_limited(events: DataFrame, limit: int = 60, seconds: int = 60) -> DataF
 LEASES = "job_id string, state string, attempts int, worker string"
 
 
-def job_states(events: DataFrame, max_attempts: int = 3, lease_seconds: int = 60) -> DataFrame:
+def job_states(events: DataFrame, max_attempts: int = 3, lease_seconds: int = 60, lateness: str = "0 seconds") -> DataFrame:
     """State of each job after its events (job_id, ts, action, worker): enqueue, claim, heartbeat, complete, fail, cancel.
 
     A claim or heartbeat holds the lease for ``lease_seconds`` of event time; a claim of
-    another worker is refused while it holds and takes over once it has run out.
+    another worker is refused while it holds and takes over once it has run out. A lease that runs out is also seen
+    without another event of its job, when the watermark (``lateness`` behind the latest event) passes it.
     """
 
+    def expired(attempts: int) -> str:
+        return "failed" if attempts >= max_attempts else "queued"
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         name, attempts, worker, lease = state.get if state.exists else ("absent", 0, "", 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for t, action, who in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["action"], rows["worker"]):
-            if name == "running" and lease <= t:
-                name, worker = ("failed" if attempts >= max_attempts else "queued"), ""
-            if action == "enqueue" and name == "absent":
-                name = "queued"
-            elif action == "claim" and name == "queued":
-                name, attempts, worker, lease = "running", attempts + 1, who, int(t) + lease_seconds * 1_000_000
-            elif action == "heartbeat" and name == "running" and who == worker:
-                lease = int(t) + lease_seconds * 1_000_000
-            elif action == "complete" and name == "running" and who == worker:
-                name = "succeeded"
-            elif action == "fail" and name == "running" and who == worker:
-                name, worker = ("failed" if attempts >= max_attempts else "queued"), ""
-            elif action == "cancel" and name in ("queued", "running"):
-                name = "cancelled"
+        if state.hasTimedOut:
+            name, worker = (expired(attempts), "") if name == "running" else (name, worker)
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts")
+            for t, action, who in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["action"], rows["worker"]):
+                if name == "running" and lease <= t:
+                    name, worker = expired(attempts), ""
+                if action == "enqueue" and name == "absent":
+                    name = "queued"
+                elif action == "claim" and name == "queued":
+                    name, attempts, worker, lease = "running", attempts + 1, who, int(t) + lease_seconds * 1_000_000
+                elif action == "heartbeat" and name == "running" and who == worker:
+                    lease = int(t) + lease_seconds * 1_000_000
+                elif action == "complete" and name == "running" and who == worker:
+                    name = "succeeded"
+                elif action == "fail" and name == "running" and who == worker:
+                    name, worker = expired(attempts), ""
+                elif action == "cancel" and name in ("queued", "running"):
+                    name = "cancelled"
         state.update((name, int(attempts), worker or "", int(lease)))
+        if name == "running":
+            state.setTimeoutTimestamp(max(int(lease) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "state": [name], "attempts": [int(attempts)], "worker": [worker or ""]})
 
-    return events.groupBy("job_id").applyInPandasWithState(step, LEASES, "name string, attempts int, worker string, lease bigint", "update", GroupStateTimeout.NoTimeout)
+    return (
+        events.withWatermark("ts", lateness)
+        .groupBy("job_id")
+        .applyInPandasWithState(step, LEASES, "name string, attempts int, worker string, lease bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    )

@@ -36,6 +36,18 @@ def test_job_leases(spark, tmp_path):
     assert [(r.state, r.attempts, r.worker) for r in got] == [("succeeded", 2, "w2")]
 
 
+def test_a_lease_runs_out_without_another_event_of_its_job(spark, tmp_path):
+    schema = "job_id string, ts timestamp, action string, worker string"
+    df = limits.job_states(stream(spark, tmp_path / "l", [("j", at(0), "enqueue", ""), ("j", at(1), "claim", "w1")], schema))
+    q = df.writeStream.format("memory").queryName("expiring").outputMode("update").start()
+    q.processAllAvailable()
+    assert [(r.job_id, r.state) for r in spark.table("expiring").collect()] == [("j", "running")]
+    stream(spark, tmp_path / "l", [("other", at(500), "enqueue", "")], schema)
+    q.processAllAvailable()
+    q.stop()
+    assert ("j", "queued", 1, "") in {tuple(r) for r in spark.table("expiring").collect()}
+
+
 def test_incremental(spark, tmp_path):
     schema = "id string, content string, ingested_at timestamp"
     spark.createDataFrame([("a", "x", at(0)), ("b", "x", at(1)), ("c", "y", at(2))], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
