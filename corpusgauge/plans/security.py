@@ -76,7 +76,7 @@ def annotation_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def high_entropy(spark: SparkSession, d: str) -> DataFrame:
     """Matcher for entropy: long unbroken runs of ASCII letters and digits with at least 4.5 bits a character."""
-    runs = documents(spark, d).select("id", F.explode_outer(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9+/=]{40,200}"), F.lit(0))).alias("run")).where("run is not null").distinct()
+    runs = documents(spark, d).select("id", F.explode_outer(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9+/=]{40,}"), F.lit(0))).alias("run")).where("run is not null").distinct()
     return runs.select("id", "run", F.round(T.entropy("run"), 6).alias("entropy")).where("entropy >= 4.5").groupBy("id").agg(F.count("*").alias("runs"))
 
 
@@ -223,7 +223,7 @@ SQL = {
     "token_sequences": f"WITH {S.DOCS} SELECT id FROM docs WHERE regexp_matches(content, {S.lit('(?i)' + _EDGE + '[Aa]udit[ \\t\\r\\n]+trail[ \\t\\r\\n]+of' + _END)})",
     "annotation_hits": f"""WITH {S.DOCS}, m AS (SELECT id, marker, n FROM ({' UNION ALL '.join(f"SELECT id, '{n}' AS marker, CAST(length(content) - length(replace(content, chr({ord(c)}), '')) AS BIGINT) AS n FROM docs" for c, n in P.MARKERS.items() if c != chr(0))}) WHERE n > 0)
         SELECT id, CASE WHEN marker LIKE 'BIDI%' THEN 'bidi_control' WHEN marker = 'REPLACEMENT' THEN 'replacement_character' ELSE 'invisible_unicode' END AS annotation, CAST(sum(n) AS BIGINT) AS occurrences FROM m GROUP BY ALL""",
-    "high_entropy": f"""WITH {S.DOCS}, r AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, '[A-Za-z0-9+/=]{{40,200}}')) AS run FROM docs), k AS (SELECT row_number() OVER () AS k, * FROM r), c AS (SELECT k, unnest(string_split(run, '')) AS ch FROM k), n AS (SELECT k, ch, count(*) AS n FROM c GROUP BY ALL),
+    "high_entropy": f"""WITH {S.DOCS}, r AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, '[A-Za-z0-9+/=]{{40,}}')) AS run FROM docs), k AS (SELECT row_number() OVER () AS k, * FROM r), c AS (SELECT k, unnest(string_split(run, '')) AS ch FROM k), n AS (SELECT k, ch, count(*) AS n FROM c GROUP BY ALL),
         e AS (SELECT k, round(-sum(n * 1.0 / t * log2(n * 1.0 / t)), 6) AS entropy FROM (SELECT k, n, sum(n) OVER (PARTITION BY k) AS t FROM n) GROUP BY k)
         SELECT id, count(*) AS runs FROM k JOIN e USING (k) WHERE entropy >= 4.5 GROUP BY id""",
     "hidden_html": f"WITH {S.DOCS} SELECT id FROM docs WHERE {' OR '.join(f'regexp_matches(content, {S.lit(p_)})' for p_ in ('(?im)' + x for x in P.HIDDEN_PATTERNS))}",
