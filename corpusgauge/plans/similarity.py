@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import duplicates
 from ..operators.base import chunks, documents, table
 from ..operators.graph import connected_components
+from ..session import cut
 from . import sql as S
 
 
@@ -33,8 +34,8 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pairs = near_dup_pairs(spark, d)
-    comp = connected_components(pairs, "left_key", "right_key").withColumnRenamed("component", "component")
+    pairs = cut(near_dup_pairs(spark, d))
+    comp = connected_components(pairs, "left_key", "right_key")
     return pairs, comp
 
 
