@@ -329,9 +329,10 @@ def groups(chunks: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN
     texts alone). Copies are never expanded into pairs.
     """
     from ..operators.graph import connected_components
+    from ..session import cut
 
     inside = members(chunks, min_chars)
-    pairs = similar_classes(chunks, threshold, min_chars)
+    pairs = cut(similar_classes(chunks, threshold, min_chars))  # read three times below
     comp = connected_components(pairs, "class_a", "class_b").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
     least = pairs.join(comp.withColumnRenamed("class_id", "class_a"), "class_a").groupBy("group_id").agg(F.min("similarity").alias("similarity"))
     ends = pairs.select(F.col("class_a").alias("class_id")).unionByName(pairs.select(F.col("class_b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("links"))
