@@ -65,6 +65,17 @@ def test_offsets(spark):
         assert a.ne == b.ns and a.oe == b.os
 
 
+def test_source_ranges_beyond_the_text(spark):
+    """Composition and line ends shorten a text, so a stored range can lie behind its end."""
+    ranges = spark.createDataFrame([("d0", 0, 2), ("d0", 1, 9), ("d0", 4, 6), ("d0", 9, 9), ("d1", 0, 1), ("d1", 0, 0), ("d2", 0, 1)], "id string, a int, b int")
+    at, to = normalize.source_range(F.col("a"), F.col("b"), F.col("segments"))
+    out = ranges.join(normalize.with_offsets(docs(spark, "xe\u0301\r\ny", "", None)), "id").select("id", "a", "b", at.alias("at"), to.alias("to"))
+    assert {(r.id, r.a, r.b): (r.at, r.to) for r in out.collect()} == {
+        ("d0", 0, 2): (0, 3), ("d0", 1, 9): (1, 6), ("d0", 4, 6): (0, 0), ("d0", 9, 9): (0, 0),
+        ("d1", 0, 1): (0, 0), ("d1", 0, 0): (0, 0), ("d2", 0, 1): (None, None),
+    }
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("q", "q")], "a string, b string")
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}
