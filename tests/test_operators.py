@@ -625,6 +625,33 @@ def test_page_lines_and_near_statistics(spark):
     assert scoring.efficiency_score(exact, duplicates.near_statistics(items, pairs)).first().efficiency == round(100 - share, 6)
 
 
+def test_near_statistics_in_steps_of_size(spark, tmp_path, monkeypatch):
+    """Steps by size lose no pair, not at their edges either, and leave no shuffle files."""
+    import random
+    from pathlib import Path
+
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(400)]
+    texts = []
+    for size in (22, 25, 28, 31, 40, 44, 55, 70, 88, 110, 200):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        # copies with a few words changed, longer by up to a quarter, in another order of sentences, and of one text only
+        texts += [base, base[:-1] + ["end"], [*base, *(rng.choice(vocabulary) for _ in range(size // 5))], [*base, *(f"new{i}" for i in range(size // 4))], base[size // 2 :] + base[: size // 2], rng.sample(vocabulary, size)]
+    rows = [("document", f"i{n}", f"i{n}", "", " ".join(t)) for n, t in enumerate(texts)]
+    items = spark.createDataFrame([*rows, ("chunk", "c", "i0", "", rows[0][4]), ("document", "none", "none", "", None)], "item_type string, item_id string, document_id string, path string, content string")
+    expected = duplicates.near_statistics(items, duplicates.near_pairs(items)).first().near_percent
+    monkeypatch.setattr(duplicates, "STEP_TERMS", 60)
+    monkeypatch.setattr(duplicates, "STEPS", 1000)
+    roots = [Path(str(r)) for r in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for r in roots for p in r.rglob("shuffle_*.data")}
+    before = files()
+    got = duplicates.near_statistics_in_steps(items, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w/candidates").iterdir())) > 8
+    assert not {p for p in files() - before if p.stat().st_size > 100_000} and len(files() - before) <= 8
+    assert 0 < expected < 100 and got.first().near_percent == expected
+    assert duplicates.near_statistics_in_steps(items.limit(0), str(tmp_path / "e")).first().near_percent in (None, 0.0)
+
+
 def test_packs_of_cases_and_stopping_on_a_critical_answer():
     import json
 
